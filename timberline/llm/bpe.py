@@ -21,7 +21,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_arrow
+from .common import Memo, map_arrow
 
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the splitmix64 finaliser (fixed values).
@@ -94,22 +94,10 @@ class MinimalPerfectHash:
         return -d - 1 if d < 0 else _mix(h ^ ((d * _GOLDEN) & _MASK)) % self.size
 
 
-class _Memo(dict):
-    """A bounded memo in two generations; what is used again survives."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file: a base64 token and its rank per line."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
 class ByteBPE:
@@ -121,8 +109,7 @@ class ByteBPE:
     BLOCK = 1 << 16
 
     def __init__(self, vocab_path: str, pattern: str):
-        with open(vocab_path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(vocab_path)
         keys = list(self.ranks)
         self.hash = MinimalPerfectHash(keys)
         self.slots: list[tuple[bytes, tuple[int, ...]]] = [(b"", ())] * len(keys)
@@ -133,8 +120,8 @@ class ByteBPE:
             self.token[rank] = key
         self.decimal = [str(i) for i in range(len(self.token))]
         self.pretokens = regex.compile(pattern).findall
-        self.word = _Memo(self._word, self.MEMO // 2)
-        self.piece = _Memo(self._piece, self.MEMO)
+        self.word = Memo(self._word, self.MEMO // 2)
+        self.piece = Memo(self._piece, self.MEMO)
 
     def merge(self, word: bytes) -> tuple[int, ...]:
         """Tier two: repeatedly join the adjacent pair of least rank, leftmost first."""
@@ -225,6 +212,25 @@ class ByteBPE:
         return b"".join([self.token[i] for i in ids])
 
 
+class LibraryBPE(ByteBPE):
+    """The same ids with the tiktoken library doing the merges: for operators that only need tokens."""
+
+    def __init__(self, vocab_path: str, pattern: str):
+        import tiktoken
+
+        self.ranks = read_ranks(vocab_path)
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self._run = lambda text: tuple(encoding.encode_ordinary(text))
+        self.piece = Memo(self._piece, self.MEMO)
+
+
+@lru_cache(maxsize=2)
+def library_codec(vocab_path: str | None = None, pattern: str | None = None) -> LibraryBPE:
+    import public_tokenizers
+
+    return LibraryBPE(vocab_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+
+
 @lru_cache(maxsize=2)
 def codec(vocab_path: str | None = None, pattern: str | None = None) -> ByteBPE:
     """One encoder per Python worker. Defaults: the installed public vocabulary."""

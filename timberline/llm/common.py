@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.session import ship
-
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+from timberline.session import materialise, shared_path, ship
 
-_written: list[str] = []
+__all__ = ["Memo", "ascii_lower", "map_arrow", "materialise", "shared_path", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,57 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
-    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
-    _written.append(path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Delete ``path`` through the Hadoop file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_written() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
-    for path in _written:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            remove_path(spark, path)
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    This cuts the lineage without depending on any one executor: a lost
-    executor costs a re-read of the written files, nothing more.
-    """
-    path = shared_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character is left alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, with underscores appended until no column of ``df`` has it."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow``, with this package made importable on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+class Memo(dict):
+    """A bounded memo in two generations; what is used again survives."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, warc
+from . import bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, token_counts, topk, warc
 from .common import shared_path, table
 
 #: Planted conversation: its texts contain another template's control strings.
@@ -59,6 +59,56 @@ FROM e GROUP BY conv_id
 """
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by 3-word shingles and a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents to token files, then count each one's tokens from the files."""
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"), shared_path(spark, "tokens"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents' tokens into sequences of 512 to 4096."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from a bounded sample of the labelled documents that aren't held out; predict all."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.LanguageModel.train(language_id.training_sample(docs))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best matches of every fiftieth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)
+),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete from every document the passages that an earlier one has; digest what is left."""
+    out = line_dedup.delete_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, digest both."""
     return bpe.round_trip(table(spark, sf_dir, "documents"))
@@ -81,8 +131,11 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries():
-    return {"op1_warc": op1_warc, "op2_chat": op2_chat, "op7_bpe": op7_bpe, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_warc": op1_warc, "op2_chat": op2_chat, "op3_minhash": op3_minhash, "op4_token_counts": op4_token_counts, "op5_packing": op5_packing,
+        "op6_language_id": op6_language_id, "op7_bpe": op7_bpe, "op8_topk": op8_topk, "op9_line_dedup": op9_line_dedup, "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql():
-    return {"op1_warc": OP1_SQL, "op2_chat": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_chat": OP2_SQL, "op8_topk": OP8_SQL, "op10_exact_dedup": OP10_SQL}
