@@ -154,9 +154,12 @@ class Forest:
         return cls(tuple(Tree(trees[t]) for t in sorted(trees)), features)
 
 
-def feature_gains(nodes: DataFrame) -> DataFrame:
-    """``(feature, gain)`` over the split nodes of all trees."""
-    return nodes.filter("feature_id is not null").groupBy("feature").agg(F.sum("gain").alias("gain"))
+def feature_gains(nodes: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """``(feature, gain)`` over the split nodes of all trees; of ``features``, unused ones have gain 0."""
+    used = nodes.filter("feature_id is not null").select("feature", "gain")
+    if features:
+        used = used.unionByName(nodes.sparkSession.createDataFrame([(f, 0.0) for f in features], "feature string, gain double"))
+    return used.groupBy("feature").agg(F.sum("gain").alias("gain"))
 
 
 def importances(gains: DataFrame, key: str) -> DataFrame:
@@ -167,8 +170,8 @@ def importances(gains: DataFrame, key: str) -> DataFrame:
     return gains.join(F.broadcast(top)).select(key, share.alias("importance")).orderBy(F.col("importance").desc(), key)
 
 
-def feature_importances(nodes: DataFrame) -> DataFrame:
-    return importances(feature_gains(nodes), "feature")
+def feature_importances(nodes: DataFrame, features: list[str] | None = None) -> DataFrame:
+    return importances(feature_gains(nodes, features), "feature")
 
 
 def subset_gains(nodes: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def grow(binned: DataFrame, features: list[FeatureSpec], quantiles: dict[str, li
     y = F.col(f"`{label}`").cast("double")
     root = binned.agg(*moments(y, F.col(f"`{weight}`").cast("double") if weight else None)).first()
     response, error = _numbers(loss, root["w"] or 0.0, root["s"] or 0.0, root["ss"] or 0.0)
-    nodes = {1: Node(1, 0, root["n"], root["w"] or 0.0, response, error, error)}
+    nodes = {1: Node(1, 0, root["n"], root["w"] or 0.0, response, error)}
     least = params.min_gain_fraction * error
     for level in range(params.max_depth):
         open_ids = [i for i, n in nodes.items() if n.depth == level and n.count >= max(2, params.min_count) and n.weight >= params.min_weight]
@@ -77,7 +77,7 @@ def grow(binned: DataFrame, features: list[FeatureSpec], quantiles: dict[str, li
                 nodes[parent.node_id] = replace(parent, **found)
                 for side, child in (("l", 2 * parent.node_id), ("r", 2 * parent.node_id + 1)):
                     response, error = _numbers(loss, s[f"{side}_w"], s[f"{side}_s"], s[f"{side}_ss"])
-                    nodes[child] = Node(child, level + 1, s[f"{side}_n"], s[f"{side}_w"], response, error, error)
+                    nodes[child] = Node(child, level + 1, s[f"{side}_n"], s[f"{side}_w"], response, error)
     return Tree(nodes)
 
 

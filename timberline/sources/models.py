@@ -217,5 +217,5 @@ def write_model(spark: SparkSession, forest: Forest, folder: str) -> None:
             put([str(len(forest.trees))], f"{sub}/num_trees.txt")
     nodes = forest.table(spark)
     nodes.coalesce(1).write.mode("overwrite").parquet(f"{folder}/nodes.parquet")
-    put([f"{r[0]}\t{r[1]:.2f}" for r in feature_importances(nodes).collect()], "feature_importances.txt")
+    put([f"{r[0]}\t{r[1]:.2f}" for r in feature_importances(nodes, [f.name for f in forest.features]).collect()], "feature_importances.txt")
     put([f"{r[0]}\t{r[1]:.2f}" for r in subset_importances(nodes).collect()], "feature_subset_importances.txt")
