@@ -59,7 +59,9 @@ def sample(df: DataFrame, fraction: float, seed: int = 42, replace: bool = False
 
 def keyed_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     """Rows whose key hashes below the fraction: the same rows in every run and engine."""
-    return df.filter(F.pmod(F.col(f"`{key}`").cast("long") * F.lit(2654435761), F.lit(4294967296)) < F.lit(int(fraction * 4294967296)))
+    # Reduced first, so that the product fits 64 bits for any key.
+    small = F.pmod(F.col(f"`{key}`").cast("long"), F.lit(1 << 30))
+    return df.filter(F.pmod(small * F.lit(2654435761), F.lit(4294967296)) < F.lit(int(fraction * 4294967296)))
 
 
 def fixed_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
