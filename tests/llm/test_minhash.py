@@ -47,8 +47,8 @@ def corpus(n, seed):
 EDGE = [(1000, None), (1001, ""), (1002, " \n"), (1003, "one"), (1004, "ONE"), (1005, "one two"), (1006, "É one two"), (1007, "é one two"), (1008, "w " * 30000), (1009, "w " * 40000), (None, "one two"), (1010, "a\x0bb c\x1fd e"), (1011, "a b\tc\x1fd e")]
 
 
-def run(spark, rows, **options):
-    df = spark.createDataFrame([(*r, 1, b"") for r in rows], "doc_id long, text string, n long, key binary")
+def run(spark, data, **options):
+    df = spark.createDataFrame([(*r, 1, b"") for r in data], "doc_id long, text string, n long, key binary")
     return sorted(map(tuple, minhash.near_duplicates(df, **options).collect()), key=str)
 
 
@@ -58,9 +58,25 @@ def test_components_are_those_of_all_pairs(spark):
 
 
 def test_large_buckets_need_more_rounds(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "FIRST_QUOTA", 4)
-    rows = corpus(60, 2)
-    assert run(spark, rows, words=2, percent=80, rows=2, miss=1e-6) == brute(rows, 2, 80)
+    monkeypatch.setattr(minhash, "SMALL", 1)
+    data = corpus(60, 2)
+    assert run(spark, data, words=2, percent=80, rows=2, miss=1e-6) == brute(data, 2, 80)
+
+
+def test_a_crowd_around_one_text(spark, monkeypatch):
+    draw = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(draw.choice((1, 2, 3, 4, 5, 6, 8))):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice(([], ["x"], [f"u{draw.randrange(9)}"], [f"u{i}", "y"]))
+        data.append((i, " ".join(words)))
+    for small, growth in ((2, 1.5), (2, 16)):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        monkeypatch.setattr(minhash, "GROWTH", growth)
+        assert run(spark, data, words=3, percent=85) == brute(data, 3, 85)
 
 
 def test_empty(spark):

@@ -6,9 +6,13 @@ and estimates the similarity with lower variance. Bands of a signature name
 buckets; documents of a bucket are compared by their full shingle sets.
 
 Pairs are never formed all against all. Documents with equal sets are one
-class. Within a bucket everyone is compared with a few hubs; what hubs connect
-is one component, and only buckets that still hold several components go on
-with further hubs, until every pair is either compared or already connected.
+class. In a large bucket everyone is compared with one hub, the document that
+is met in most buckets. If that does not make the bucket one component, no pair
+of it is lost for that: shingles that two documents share are in the hub or
+not. With none outside the hub, their intersection is at most either one's with
+the hub, which bounds the similarity and rules out almost all pairs by numbers
+alone. The others share a shingle that the hub lacks, and these shingles name
+new, smaller buckets, which are treated alike.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,9 @@ from .common import Memo, map_arrow, materialise
 ROWS = 6
 #: Chance that a pair right at the threshold shares no bucket.
 MISS = 1e-8
-#: Pairs that a bucket may emit in the first round, besides one per member.
-FIRST_QUOTA = 64
+#: Buckets up to this size are compared pair by pair in the first round; the
+#: size grows by GROWTH with each round, so the rounds come to an end.
+SMALL, GROWTH = 8, 16
 SEED = 20240229
 
 
@@ -131,32 +137,59 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int, bands: int
     return map_arrow(slim, run, f"id {id_type.simpleString()}, n long, key binary, buckets array<long>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs (a, b)`` with 100 * intersection >= percent * union, on full sets.
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs (a, b, ...)`` with both texts, the rows of one ``a`` together. Texts travel, not sets: they are smaller."""
+    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
+    return joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
+
+
+def _pairs_of_sets(batch, shingle, held: dict):
+    """Both sets of each row; the set of ``a`` is built once for the rows that follow each other."""
+    for x, left, right in zip(batch.column(0).to_pylist(), batch.column("left"), batch.column("right"), strict=True):
+        text = left.as_py()
+        if held.get("key") != (x, text):
+            held.update(key=(x, text), set=shingle(text))
+        yield held["set"], shingle(right.as_py())
+
 
-    Texts travel, not sets: they are smaller. Rows arrive ordered by ``a``, so a
-    hub's set is built once for all its partners.
+def compare(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(a, b, common, linked)`` of ``pairs (a, b)``, from the full sets."""
+    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b"))
+
+    def run(batches):
+        shingle, held = _shingler(words), {}
+        for batch in batches:
+            common, linked = [], []
+            for p, q in _pairs_of_sets(batch, shingle, held):
+                c = len(np.intersect1d(p, q, assume_unique=True))
+                common.append(c)
+                linked.append(c > 0 and 100 * c >= percent * (len(p) + len(q) - c))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "common", "linked"])
+
+    return map_arrow(_with_texts(pairs, texts).select("a", "b", "left", "right"), run, f"{kinds}, common long, linked boolean")
+
+
+def outside(stars: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """For ``stars (a, b)``, hub and member: ``(b, keys)``, keys naming shingles of the member that the hub lacks.
+
+    A partner of the member shares at least percent * n / 100 - common of them
+    with it, so that many less one can be left out, if all leave out those that
+    are last in one order (prefix filter).
     """
-    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a", "b"))
+    kind = stars.schema["b"].dataType.simpleString()
 
     def run(batches):
-        shingle, last, kept = _shingler(words), None, None
+        shingle, held = _shingler(words), {}
         for batch in batches:
-            a, b, left, right = (batch.column(i) for i in range(4))
-            good = []
-            for x, p, q in zip(a.to_pylist(), left, right, strict=True):
-                one = p.as_py()
-                if last != (x, one):
-                    last, kept = (x, one), shingle(one)
-                other = shingle(q.as_py())
-                common = len(np.intersect1d(kept, other, assume_unique=True))
-                good.append(common > 0 and 100 * common >= percent * (len(kept) + len(other) - common))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+            keys = []
+            for x, (p, q) in zip(batch.column(0).to_pylist(), _pairs_of_sets(batch, shingle, held), strict=True):
+                own = np.setdiff1d(q, p, assume_unique=True)
+                need = max(1, -(-(percent * len(q) - 100 * (len(q) - len(own))) // 100))
+                salt = np.uint64(xxhash.xxh3_64_intdigest(repr(x)))
+                keys.append(((own[: len(own) - need + 1] ^ salt) * np.uint64(0x94D049BB133111EB)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["b", "keys"])
 
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b")
-    joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
-    return map_arrow(joined.select("a", "b", "left", "right"), run, schema)
+    return map_arrow(_with_texts(stars, texts).select("a", "b", "left", "right"), run, f"b {kind}, keys array<long>")
 
 
 def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -202,24 +235,49 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = stands.select(F.explode("buckets").alias("bucket"), F.col("id").alias("rep"), "n").distinct()
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
     members = materialise(buckets.join(shared, "bucket", "left_semi").withColumn("comp", F.col("rep")), "buckets")
+    # The texts of all that share a bucket, once: every comparison below reads these only.
     texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    labels, quota = None, FIRST_QUOTA
-    while True:
+    texts = materialise(texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "texts")
+    labels, waiting = None, None
+    linked = lambda c, n, k: (100 + percent) * F.col(c) >= percent * (F.col(n) + F.col(k))
+    for turn in count():
         size = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket", "m")
         active = members.join(size, "bucket")
-        # Everyone is a hub where all pairs fit the quota, else one member of each of a few hash classes.
-        klass = F.when(F.col("m") * F.col("m") <= quota, F.xxhash64("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1).cast("long"), F.floor(quota / F.col("m")))))
-        hubs = materialise(active.groupBy("bucket", klass.alias("klass")).agg(F.min(F.struct("rep", "n", "comp")).alias("hub")).select("bucket", "hub"), "hubs")
-        if hubs.isEmpty():
+        small = F.col("m") <= min(SMALL * GROWTH**turn, 1 << 40)
+        few = active.filter(small)
+        other = few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
+        near = (F.col("rep") < F.col("rep2")) & (F.col("comp") != F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+        pairs = few.join(other, "bucket").filter(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+        many = active.filter(~small)
+        met = many.groupBy("rep").agg(F.sum("m").alias("met"))
+        hubs = many.join(met, "rep").groupBy("bucket").agg(F.min_by(F.struct("rep", "n"), F.struct(-F.col("met"), "rep")).alias("hub"))
+        stars = many.join(hubs, "bucket").filter(F.col("rep") != F.col("hub.rep")).select(F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), "rep", "n").distinct()
+        stars = materialise(stars, "stars")
+        pairs = pairs.unionByName(stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")))
+        pairs = materialise((pairs if waiting is None else pairs.unionByName(waiting)).distinct(), "pairs")
+        if pairs.isEmpty():
             break
-        near = (F.col("comp") != F.col("hub.comp")) & (100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n"))
-        pairs = active.join(hubs, "bucket").filter(near).select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
-        links = confirm(materialise(pairs, "pairs"), texts, words, percent)
+        checked = materialise(compare(pairs, texts, words, percent), "compared")
+        links = checked.filter("linked").select("a", "b")
         roots = connected_components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         labels = roots
-        left = members.join(hubs.select("bucket", F.col("hub.rep").alias("rep")), ["bucket", "rep"], "left_anti")
-        left = left.drop("comp").join(roots, left["rep"] == roots["node"], "left").select("bucket", "rep", "n", F.coalesce("root", "rep").alias("comp"))
-        members, quota = materialise(left, "buckets"), quota * 64
+        # Hubs that still have members of other components: their members, with what each has in common with the hub.
+        comp_of = lambda rows, col, name, roots=roots: rows.join(roots.select(F.col("node").alias(col), F.col("root").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
+        known = comp_of(comp_of(stars, "rep", "comp"), "hub", "hub_comp")
+        open_hubs = known.filter("comp <> hub_comp").select("hub").distinct()
+        known = known.join(open_hubs, "hub", "left_semi").withColumn("a", F.least("hub", "rep")).withColumn("b", F.greatest("hub", "rep")).join(checked.select("a", "b", "common"), ["a", "b"])
+        known = materialise(known.select("hub", "hub_n", "rep", "n", "comp", "common"), "open")
+        # Nothing shared outside the hub: then the partner of an unlinked member is shorter than the hub.
+        loose = known.filter(~linked("common", "n", "hub_n")).select("hub", "rep", "n", "comp", "common")
+        short = known.filter("n < hub_n").select("hub", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), F.col("common").alias("common2"))
+        can = (F.col("rep") != F.col("rep2")) & (F.col("comp") != F.col("comp2")) & linked("common", "n", "n2") & linked("common2", "n", "n2")
+        waiting = loose.join(short, "hub").filter(can).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+        # Something shared outside the hub: new buckets, in which hubs are chosen anew.
+        keys = outside(known.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), texts, words, percent)
+        fresh = keys.select(F.col("b").alias("rep"), F.explode("keys").alias("bucket")).distinct()
+        fresh = fresh.join(known.select("rep", "n", "comp").distinct(), "rep").select("bucket", "rep", "n", "comp")
+        twice = fresh.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
+        members = materialise(fresh.join(twice, "bucket", "left_semi"), "buckets")
     if labels is None:
         final = classes.select("key", F.col("rep").alias("component_id"))
     else:
