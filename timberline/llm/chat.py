@@ -8,6 +8,7 @@ Markers are single tokens, so no token lies across a turn's edge.
 from __future__ import annotations
 
 import hashlib
+import os
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 
+#: Conversations encoded at a time in a worker.
+PART = 64
+
+
 @dataclass(frozen=True)
 class ChatTemplate:
     """``start role sep text end`` for each turn.
@@ -86,6 +91,8 @@ def tokenizer(path: str | None, template: ChatTemplate):
     import public_tokenizers
     from tokenizers import Tokenizer, pre_tokenizers
 
+    # One thread each: Spark runs a worker per core already, and threads cost memory.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     own = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
     own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=True)
     own.add_special_tokens([template.start, template.sep, template.end])
@@ -112,8 +119,8 @@ def format_conversations(df: DataFrame, template: ChatTemplate | None = None, id
     def run(batches):
         own = tokenizer(tokenizer_path, template)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
                 turns = [list(zip(r, t, strict=True)) for r, t in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
                 rendered = [template.render(x) for x in turns]
                 codes = own.encode_batch([r[0] for r in rendered], add_special_tokens=False)

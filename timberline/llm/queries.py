@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, exact_dedup, language_id, line_dedup, minhash, packing, token_counts, topk, warc
-from .common import shared_path, table
+from .common import materialise, shared_path, table
 
 #: Planted conversation: its texts contain another template's control strings.
 PROBE_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -35,10 +35,10 @@ FROM f
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format all conversations and the planted one, then digest what the output says."""
+    """Format all conversations and the planted one, write them, read them back and digest what they say."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE_CONVERSATION, "conv_id long, turn long, role string, text string")
-    return chat.digest_formatted(chat.format_conversations(turns.unionByName(probe)))
+    return chat.digest_formatted(materialise(chat.format_conversations(turns.unionByName(probe)), "formatted"))
 
 
 OP2_SQL = r"""
