@@ -77,3 +77,34 @@ def test_documents(spark):
         assert [(i, t, n, list(g)) for i, t, n, g in got] == brute(rows, rare)
     assert any(g for _, _, _, g in brute(rows))
     assert ld.delete_repeats(df.limit(0)).count() == 0
+
+
+def all_pairs(rows):
+    """Lines of common runs of 20 words, by comparing every pair of documents line by line."""
+    docs = {i: [x.strip(" ") for x in t.split("\n")] for i, t in rows}
+    out = {i: set() for i in docs}
+    for later, b in docs.items():
+        for earlier, a in docs.items():
+            for i in range(len(a) if earlier < later else 0):
+                for j in range(len(b)):
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in b[j : j + n]) >= 20:
+                        out[later] |= set(range(j, j + n))
+    return {i: sorted(g) for i, g in out.items()}
+
+
+def removed(spark, rows):
+    return {r["doc_id"]: list(r["removed"]) for r in ld.delete_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_every_pair_of_documents_is_compared(spark):
+    draw = random.Random(5)
+    frequent = [f"frequent line {i} of about seven words" for i in range(8)] + ["", "short"]
+    rows = [(i, "\n".join(draw.choice(frequent) for _ in range(draw.randrange(1, 9)))) for i in range(60)]
+    # The lines of 230's passage have other first holders, and are frequent.
+    rows += [(-3, "p " * 10 + "\nx"), (-2, "q " * 10 + "\ny"), *[(k, f"{'p ' * 10}\n{k}\n{'q ' * 10}") for k in range(200, 220)], (100, "u\n" + "p " * 10 + "\n" + "q " * 10), (230, "p " * 10 + "\n" + "q " * 10 + "\nv")]
+    wanted = all_pairs(rows)
+    assert removed(spark, rows) == wanted
+    assert wanted[230] == [0, 1] and sum(map(bool, wanted.values())) > 10

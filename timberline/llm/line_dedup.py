@@ -1,10 +1,13 @@
-"""Line deduplication by pairwise alignment.
-
-Documents that share a line are paired: a later document with the first holder
-of each of its lines and, for rare lines, also with the holder just before it.
-That is linear in the number of lines, however frequent a line is. Each pair is
-aligned with patience diff on line hashes, and blocks of lines aligned in both
-are deleted from the later document.
+"""Line deduplication: passages that an earlier document has are deleted.
+
+A passage is a run of neighbouring lines with at least ``block_words`` words
+that stands likewise in an earlier document. Every such run is covered by
+shortest runs: those that from one of its lines on, or up to one of its lines,
+just reach the words asked for. So each document names its shortest runs by
+their hashes, and a run whose first holder is an earlier document is deleted.
+That is linear in the number of lines, however frequent a line is, and gives
+what comparing all pairs of documents would: no block that any alignment of any
+pair finds is missed, and passages may be moved or said twice.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +23,15 @@ from pyspark.sql import Window as W
 
 from .common import map_arrow, materialise
 
-#: Lines in at most so many documents are rare.
+#: With ``rare`` (see ``delete_repeats``): lines in at most so many documents are rare.
 RARE = 16
-#: Words a line needs to bring two documents together.
+#: With ``rare``: words a line needs to bring two documents together.
 PAIR_WORDS = 4
-#: Words that an aligned block needs to be deleted.
+#: Words that a passage needs to be deleted.
 BLOCK_WORDS = 20
+#: Base of the hashes of runs, odd and 3 modulo 4, and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C17
+UNBASE = pow(BASE, -1, 1 << 64)
 
 
 def patience_match(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -74,6 +81,35 @@ def patience_match(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shortest_runs(words: np.ndarray, first: np.ndarray, end: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (exclusive) of the runs that just reach ``block_words`` words, each once.
+
+    ``first`` and ``end`` are, for every line, those of its document: no run leaves it.
+    """
+    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    line = np.arange(len(words))
+    upto = np.searchsorted(total, total[:-1] + block_words, "left")
+    since = np.searchsorted(total, total[1:] - block_words, "right") - 1
+    on, back = upto <= end, since >= first
+    both = np.unique(np.stack([np.concatenate((line[on], since[back])), np.concatenate((upto[on], line[back] + 1))]), axis=1)
+    return both[0], both[1]
+
+
+def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit polynomial hashes of runs of line hashes, wherever the runs stand."""
+    power = lambda base: np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(lines), base, np.uint64), dtype=np.uint64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(lines.astype(np.uint64) * power(BASE)[:-1], dtype=np.uint64)))
+    return ((sums[ends] - sums[starts]) * power(UNBASE)[starts]).astype(np.int64)
+
+
+def covered(starts, ends) -> np.ndarray:
+    """Positions in at least one run."""
+    edges = np.zeros(int(max(ends, default=0)) + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, ends, -1)
+    return np.flatnonzero(np.cumsum(edges) > 0)
+
+
 def repeated_lines(earlier: list[int], later: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
     """Positions of ``later`` in aligned blocks of at least ``block_words`` words.
 
@@ -101,29 +137,15 @@ def _words(line: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
 
 
-def delete_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, pair_words: int = PAIR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of ``df``: ``(id_col, text, n_lines, removed)``.
-
-    Lines are equal when equal without blanks at their ends. ``removed`` lists
-    the positions deleted, counted from 0, and ``text`` is what is left. The
-    smaller id is the earlier document. A null text stays null and has no
-    lines; an empty text has one empty line. Rows with a null id neither lose
-    lines nor take them from others. Rows that repeat an id are not compared
-    with each other. An empty table gives an empty result; extra columns are
-    not read.
-    """
-    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    usable = base.filter("id is not null and text is not null")
+def _paired(usable: DataFrame, rows: DataFrame, rare: int, pair_words: int, block_words: int, id_type: str) -> DataFrame:
+    """``(id, mark, gone)`` by a limited choice of pairs: see ``rare`` of ``delete_repeats``."""
     lines = usable.select("id", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: _words(x) >= pair_words), lambda x: F.xxhash64(F.trim(x))))).alias("h")).distinct()
     holders = lines.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("df")).filter("df > 1")
     hits = materialise(lines.join(holders, "h"), "shared-lines")
     first = hits.filter("first < id").select("id", F.col("first").alias("other"))
     before = hits.filter(F.col("df") <= rare).select("id", F.lag("id").over(W.partitionBy("h").orderBy("id")).alias("other")).filter("other is not null")
     pairs = materialise(first.unionByName(before).distinct(), "line-pairs")
-    # Hashes stand for lines from here on: about a tenth of the text.
-    rows = usable.select("id", "mark", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(_lines(F.col("text")), _words).alias("words"))
     joined = pairs.join(rows.select(F.col("id").alias("other"), F.col("hashes").alias("before")), "other").join(rows, "id")
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -135,7 +157,60 @@ def delete_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield out.filter(keep)
 
     found = map_arrow(joined.select("id", "mark", "before", "hashes", "words"), run, f"id {id_type}, mark long, gone array<int>")
-    found = found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def _first_held(rows: DataFrame, block_words: int, id_type: str) -> DataFrame:
+    """``(id, mark, gone)``: all lines in runs of at least ``block_words`` words that an earlier document has."""
+
+    def name(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sizes = part.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                tops = np.concatenate(([0], np.cumsum(sizes)))
+                doc = np.repeat(np.arange(part.num_rows), sizes)
+                starts, ends = shortest_runs(part.column(3).flatten().to_numpy(zero_copy_only=False), tops[doc], tops[doc + 1], block_words)
+                h = run_hashes(part.column(2).flatten().to_numpy(zero_copy_only=False), starts, ends)
+                own = doc[starts]
+                which = pa.array(own)
+                columns = [part.column(0).take(which), part.column(1).take(which), pa.array(h), pa.array((starts - tops[own]).astype(np.int32)), pa.array((ends - tops[own]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "h", "s", "e"])
+
+    def merge(batches):
+        for batch in batches:
+            gone = [covered(s, e) for s, e in zip(batch.column(2), batch.column(3), strict=True) for s, e in [(s.values.to_numpy(), e.values.to_numpy())]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "mark", "gone"])
+
+    runs = materialise(map_arrow(rows, name, f"id {id_type}, mark long, h long, s int, e int"), "line-runs")
+    holders = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
+    hits = runs.join(holders, "h").filter("first < id").groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("at"))
+    return map_arrow(hits.select("id", "mark", F.col("at.s").alias("s"), F.col("at.e").alias("e")), merge, f"id {id_type}, mark long, gone array<int>")
+
+
+def delete_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int | None = None, pair_words: int = PAIR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of ``df``: ``(id_col, text, n_lines, removed)``.
+
+    Lines are equal when equal without blanks at their ends. ``removed`` lists
+    the positions deleted, counted from 0, and ``text`` is what is left: all
+    but the lines in runs of at least ``block_words`` words that stand likewise
+    in an earlier document. The smaller id is the earlier document. A null text
+    stays null and has no lines; an empty text has one empty line. Rows with a
+    null id neither lose lines nor take them from others. Rows that repeat an
+    id are not compared with each other. An empty table gives an empty result;
+    extra columns are not read.
+
+    By default a document is compared with all earlier ones. Only where ``rare``
+    is given, that is limited to the first holder of each of its lines of at
+    least ``pair_words`` words and, for lines in at most ``rare`` documents, to
+    the holder just before it; passages of other pairs then stay.
+    """
+    base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
+    usable = base.filter("id is not null and text is not null")
+    # Hashes stand for lines from here on: about a tenth of the text.
+    rows = usable.select("id", "mark", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(_lines(F.col("text")), _words).alias("words"))
+    id_type = df.schema[id_col].dataType.simpleString()
+    found = _first_held(rows, block_words, id_type) if rare is None else _paired(usable, rows, rare, pair_words, block_words, id_type)
     out = base.join(found, ["id", "mark"], "left")
     parts = _lines(F.col("text"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))
