@@ -108,3 +108,11 @@ def test_every_pair_of_documents_is_compared(spark):
     wanted = all_pairs(rows)
     assert removed(spark, rows) == wanted
     assert wanted[230] == [0, 1] and sum(map(bool, wanted.values())) > 10
+
+
+def test_short_lines_and_scripts_without_blanks(spark):
+    verse = "\n".join(f"word{i}" for i in range(30))
+    han = "\n".join(chr(0x4E00 + 10 * i) * 8 for i in range(3))
+    thai = "\n".join("กิน" * 4 for _ in range(3))
+    rows = [(1, verse), (2, "new\n" + verse), (3, han), (4, "a\n" + han + "\nb"), (5, thai), (6, thai), (7, "一" * 10), (8, "一" * 10), (9, "so\nfew\nlines"), (10, "so\nfew\nlines")]
+    assert removed(spark, rows) == {1: [], 2: list(range(1, 31)), 3: [], 4: [1, 2, 3], 5: [], 6: [0, 1, 2], 7: [], 8: [], 9: [], 10: []}

@@ -132,9 +132,18 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _words(line: Column) -> Column:
-    trimmed = F.trim(line)
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+#: Letters of scripts written without blanks, with their marks: each counts as a word.
+UNSPACED = (
+    r"[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    r"\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\ua980-\ua9df\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}&&[\p{L}\p{Nl}]]\p{M}*"
+)
+
+
+def _words(line: Column, spaced: Column | None = None) -> Column:
+    """Words between blanks. Unless ``spaced`` says that there are none, letters of unspaced scripts are words."""
+    count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")))
+    single = count(F.trim(F.regexp_replace(line, UNSPACED, " $0 ")))
+    return single if spaced is None else F.when(spaced, count(F.trim(line))).otherwise(single)
 
 
 def _paired(usable: DataFrame, rows: DataFrame, rare: int, pair_words: int, block_words: int, id_type: str) -> DataFrame:
@@ -208,7 +217,8 @@ def delete_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     usable = base.filter("id is not null and text is not null")
     # Hashes stand for lines from here on: about a tenth of the text.
-    rows = usable.select("id", "mark", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(_lines(F.col("text")), _words).alias("words"))
+    spaced = ~F.col("text").rlike(r"[\u0e00-\x{10ffff}]")
+    rows = usable.withColumn("spaced", spaced).select("id", "mark", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(_lines(F.col("text")), lambda x: _words(x, F.col("spaced"))).alias("words"))
     id_type = df.schema[id_col].dataType.simpleString()
     found = _first_held(rows, block_words, id_type) if rare is None else _paired(usable, rows, rare, pair_words, block_words, id_type)
     out = base.join(found, ["id", "mark"], "left")
