@@ -116,3 +116,11 @@ def test_short_lines_and_scripts_without_blanks(spark):
     thai = "\n".join("กิน" * 4 for _ in range(3))
     rows = [(1, verse), (2, "new\n" + verse), (3, han), (4, "a\n" + han + "\nb"), (5, thai), (6, thai), (7, "一" * 10), (8, "一" * 10), (9, "so\nfew\nlines"), (10, "so\nfew\nlines")]
     assert removed(spark, rows) == {1: [], 2: list(range(1, 31)), 3: [], 4: [1, 2, 3], 5: [], 6: [0, 1, 2], 7: [], 8: [], 9: [], 10: []}
+
+
+def test_passages_said_twice(spark):
+    p = " ".join(f"w{i}" for i in range(25))
+    q = [" ".join(f"{c}{i}" for i in range(12)) for c in "klm"]
+    rows = [(1, f"x\n{p}\ny"), (2, f"a\n{p}\nb\n{p}\nc"), (3, "\n".join(["x", *q, "y"])), (4, "\n".join(["a", *q, "b", *q, "c"]))]
+    assert removed(spark, rows) == {1: [], 2: [1, 3], 3: [], 4: [1, 2, 3, 5, 6, 7]}
+    assert ld.repeated_lines([8, 1, 9], [5, 1, 6, 1, 7], [1, 25, 1, 25, 1]) == [1, 3]

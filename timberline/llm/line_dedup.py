@@ -39,7 +39,8 @@ def patience_match(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
     Common ends are matched; of what is between, the elements that occur once on
     either side are matched along their longest increasing run, and the gaps
-    are treated alike. A gap without such elements stays unmatched.
+    are treated alike. A gap without such elements stays unmatched, so this is
+    not what deletion goes by: ``repeated_lines`` finds all common runs.
     """
     out: list[tuple[int, int]] = []
     gaps = [(0, len(a), 0, len(b))]
@@ -111,22 +112,20 @@ def covered(starts, ends) -> np.ndarray:
 
 
 def repeated_lines(earlier: list[int], later: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions of ``later`` in aligned blocks of at least ``block_words`` words.
+    """Positions of ``later`` in runs of at least ``block_words`` words that ``earlier`` has too.
 
-    A block is a run of lines that are neighbours on both sides.
+    A run's lines are neighbours on both sides. It may stand anywhere and more than once.
     """
-    out: list[int] = []
-    block: list[int] = []
-    last = (-2, -2)
-    for i, j in [*patience_match(earlier, later), (-2, -2)]:
-        if (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[n] for n in block) >= block_words:
-                out += block
-            block = []
-        block.append(j)
-        last = (i, j)
-    return out
+    known = dict(zip(later, words, strict=True))
 
+    def runs(lines):
+        n = len(lines)
+        found = shortest_runs(np.array([known.get(x, 0) for x in lines], np.int64), np.zeros(n, np.int64), np.full(n, n), block_words)
+        return [(s, e, tuple(lines[s:e])) for s, e in zip(*(x.tolist() for x in found), strict=True)]
+
+    held = {run for _, _, run in runs(earlier)}
+    own = [(s, e) for s, e, run in runs(later) if run in held]
+    return covered([s for s, _ in own], [e for _, e in own]).tolist() if own else []
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
