@@ -68,33 +68,50 @@ def cardinalities(df: DataFrame, features: list[FeatureSpec]) -> DataFrame:
     return df.agg(*[(F.max(f"`{f}`") + 1).cast("int").alias(f) for f in own]) if own else df.sparkSession.createDataFrame([()], "")
 
 
-def midpoints(values: Column, n: Column, most: int) -> Column:
-    """Quantile thresholds of a sorted array: midpoints between neighbours, distinct, sorted.
-
-    With n values there are min(most, n - 1) cuts; cut q lies behind position
-    q * n / (cuts + 1) - 1, rounded towards zero.
-    """
-    cuts = F.least(F.lit(most).cast("long"), n.cast("long") - 1)
-    at = lambda q: (q * n / (cuts + 1) - 1).cast("long").cast("int")
-    found = F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(cuts, F.lit(1).cast("long"))), lambda q: (F.get(values, at(q)) + F.get(values, at(q) + 1)) / 2.0)
-    return F.when(cuts >= 1, F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<double>"))
+#: Ranges that the values of a feature are dealt into for running sums.
+RANGES = 64
 
 
-def quantile_table(df: DataFrame, features: list[str], most: int = 1000, sample_rows: int = 100_000, seed: int = 42) -> DataFrame:
-    """``(feature, thresholds)``. Exact up to ``sample_rows`` rows.
+def quantile_table(df: DataFrame, features: list[str], most: int = 1000) -> DataFrame:
+    """``(feature, thresholds)``: midpoints between neighbours at the quantiles, distinct, sorted.
 
-    Beyond that, a sample of about so many rows is taken by a hash of the whole
-    row, so the bound on what one aggregate holds does not depend on the input.
+    Exact on all rows. With n values there are min(most, n - 1) cuts; cut q lies
+    behind position q * n / (cuts + 1) - 1, rounded towards zero. Values are
+    counted, dealt into ranges and summed within these, so no task holds a
+    whole feature. Where ranges end is approximate and only affects balance.
     """
+    spark = df.sparkSession
+    shape = "feature string, thresholds array<double>"
     if not features:
-        return df.sparkSession.createDataFrame([], "feature string, thresholds array<double>")
-    slim = df.select(*[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    total = slim.count()
-    if total > sample_rows:
-        slim = slim.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(f"`{f}`") for f in features])).withColumn("_r", F.rand(seed)).orderBy("_h", "_r").limit(sample_rows).drop("_h", "_r")
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").alias("v")) for f in features])
-    lists = slim.select(F.inline(pairs)).filter("v is not null").groupBy("feature").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    return lists.select("feature", midpoints(F.col("vs"), F.size("vs"), most).alias("thresholds"))
+        return spark.createDataFrame([], shape)
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("v")) for f in features])
+    counts = df.select(F.inline(pairs)).filter("v is not null").groupBy("feature", "v").agg(F.count("*").alias("cnt"))
+    ends = counts.groupBy("feature").agg(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], 1000).alias("ends")).collect()
+    if not ends:
+        return spark.createDataFrame([], shape)
+    dealt = F.lit(0)
+    for row in ends:
+        dealt = F.when(F.col("feature") == row["feature"], bin_of(F.col("v"), sorted(set(row["ends"])))).otherwise(dealt)
+    ranged = counts.withColumn("range", dealt)
+    sums, sizes = [], {}
+    for row in sorted(ranged.groupBy("feature", "range").agg(F.sum("cnt").alias("cnt")).collect()):  # at most RANGES a feature
+        sums.append((row["feature"], row["range"], sizes.get(row["feature"], 0)))
+        sizes[row["feature"]] = sums[-1][2] + row["cnt"]
+    bases = spark.createDataFrame([(f, part, base, sizes[f], min(most, sizes[f] - 1)) for f, part, base in sums], "feature string, range int, base long, n long, cuts long")
+    inside = W.partitionBy("feature", "range").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = ranged.withColumn("top", F.sum("cnt").over(inside)).join(F.broadcast(bases), ["feature", "range"]).filter("cuts > 0")
+    held = held.withColumn("hi", F.col("base") + F.col("top")).withColumn("lo", F.col("base") + F.col("top") - F.col("cnt"))
+    # The cuts whose two positions can be among lo .. hi - 1, one more on either side; the test is exact.
+    cuts, n = F.col("cuts"), F.col("n")
+    least = F.greatest(F.lit(1).cast("long"), F.floor(F.col("lo") * (cuts + 1) / n) - 1)
+    greatest = F.least(cuts, F.ceil((F.col("hi") + 1) * (cuts + 1) / n) + 1)
+    near = F.when(least <= greatest, F.sequence(least, greatest)).otherwise(F.array().cast("array<bigint>"))
+    at = lambda q: (q * n / (cuts + 1) - 1).cast("long")
+    picked = lambda step: F.filter(near, lambda q: (at(q) + step >= F.col("lo")) & (at(q) + step < F.col("hi")))
+    both = held.select("feature", "v", F.explode(F.concat(picked(0), picked(1))).alias("q"))
+    found = both.groupBy("feature", "q").agg((F.sum("v") / 2.0).alias("t")).groupBy("feature").agg(F.array_sort(F.collect_set("t")).alias("thresholds"))
+    known = spark.createDataFrame([(f,) for f in sizes], "feature string")
+    return known.join(found, "feature", "left").select("feature", F.coalesce("thresholds", F.array().cast("array<double>")).alias("thresholds"))
 
 
 def collect_quantiles(table: DataFrame) -> dict[str, list[float]]:

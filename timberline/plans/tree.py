@@ -20,7 +20,7 @@ GAIN_SLACK = 1e-7
 
 def global_quantiles(encoded: DataFrame, features: list[FeatureSpec], params: TreeParams) -> dict[str, list[float]]:
     own = [f.name for f in features if f.kind == CONTINUOUS]
-    return collect_quantiles(quantile_table(encoded, own, params.max_quantiles, params.max_quantile_samples, params.seed)) if own else {}
+    return collect_quantiles(quantile_table(encoded, own, params.max_quantiles)) if own else {}
 
 
 def _numbers(loss: Loss, w: float, s: float, ss: float) -> tuple[float, float]:
