@@ -149,13 +149,13 @@ q AS (SELECT DISTINCT (vs[1 + trunc(i * n / (cuts + 1) - 1)::BIGINT] + vs[2 + tr
 
 @query(_Q_SQL + "SELECT t FROM q")
 def quantiles(spark, sf):
-    return encode.quantile_table(table(spark, sf, "orders"), ["o_totalprice"], 20, 1 << 20).select(F.explode("thresholds").alias("t"))
+    return encode.quantile_table(table(spark, sf, "orders"), ["o_totalprice"], 20).select(F.explode("thresholds").alias("t"))
 
 
 @query(_Q_SQL + "SELECT bin, count(*) AS cnt FROM (SELECT (SELECT count(*) FROM q WHERE t <= o_totalprice)::INT AS bin FROM orders) GROUP BY bin")
 def quantile_bins(spark, sf):
     orders = table(spark, sf, "orders").select("o_totalprice")
-    q = encode.collect_quantiles(encode.quantile_table(orders, ["o_totalprice"], 20, 1 << 20))
+    q = encode.collect_quantiles(encode.quantile_table(orders, ["o_totalprice"], 20))
     return orders.select(encode.bin_of(F.col("o_totalprice"), q["o_totalprice"]).alias("bin")).groupBy("bin").agg(F.count("*").alias("cnt"))
 
 
