@@ -64,9 +64,22 @@ def keyed_sample(df: DataFrame, key: str, fraction: float) -> DataFrame:
     return df.filter(F.pmod(small * F.lit(2654435761), F.lit(4294967296)) < F.lit(int(fraction * 4294967296)))
 
 
+#: Copies of a row that are numbered by one task at a time.
+COPIES = 4096
+
+
 def fixed_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """``n`` rows by least hash of the keys: a distributed top-n."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(f"`{k}`") for k in keys]), *[F.col(f"`{k}`") for k in keys]).limit(n)
+    """``n`` random rows: a distributed top-n by a hash of the row and the number of its copy.
+
+    Copies are numbered and drawn one by one, so equal rows neither come nor
+    go together, and the draw does not depend on the partitioning.
+    """
+    columns = [F.col(f"`{c}`") for c in [*keys, *(c for c in df.columns if c not in keys)]]
+    counts = df.groupBy(*columns).agg(F.count("*").alias("_n"))
+    blocks = counts.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES)))).repartition(*columns, F.col("_block"))
+    copies = blocks.withColumn("_copy", F.explode(F.sequence(F.col("_block") * COPIES, F.least(F.col("_n"), (F.col("_block") + 1) * COPIES) - 1)))
+    drawn = copies.orderBy(F.xxhash64(F.lit(seed), *columns, F.col("_copy")), *columns, F.col("_copy")).limit(n)
+    return drawn.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def subtract(df: DataFrame, other: DataFrame) -> DataFrame:
