@@ -58,7 +58,8 @@ def test_components_are_those_of_all_pairs(spark):
 
 
 def test_large_buckets_need_more_rounds(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL", 1)
+    monkeypatch.setattr(minhash, "FEW", 1)
+    monkeypatch.setattr(minhash, "MANY", 2)
     data = corpus(60, 2)
     assert run(spark, data, words=2, percent=80, rows=2, miss=1e-6) == brute(data, 2, 80)
 
@@ -73,10 +74,30 @@ def test_a_crowd_around_one_text(spark, monkeypatch):
             at = draw.randrange(len(words))
             words[at : at + 1] = draw.choice(([], ["x"], [f"u{draw.randrange(9)}"], [f"u{i}", "y"]))
         data.append((i, " ".join(words)))
-    for small, growth in ((2, 1.5), (2, 16)):
-        monkeypatch.setattr(minhash, "SMALL", small)
-        monkeypatch.setattr(minhash, "GROWTH", growth)
-        assert run(spark, data, words=3, percent=85) == brute(data, 3, 85)
+    for few, many, words, percent in ((2, 6, 3, 85), (2, 4096, 5, 80)):
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "MANY", many)
+        assert run(spark, data, words=words, percent=percent) == brute(data, words, percent)
+
+
+def test_parts_of_one_text(spark, monkeypatch):
+    """Members that have all their shingles in the hub, and are partners of each other but not of the hub."""
+    monkeypatch.setattr(minhash, "FEW", 1)
+    base = [f"w{i}" for i in range(100)]
+    data = [(0, " ".join(base))]
+    for i in range(1, 30):
+        at = (i * 7) % 36
+        data.append((i, " ".join(base[at : at + 64 + i % 5])))
+    assert run(spark, data, words=3, percent=85) == brute(data, 3, 85)
+
+
+def test_parity_maps_never_differ_in_more_bits_than_sets_in_elements():
+    draw = np.random.default_rng(5)
+    for size in (1, 30, 3000):
+        pool = draw.integers(0, 1 << 63, size + 50, dtype=np.uint64)
+        a, b = pool[:size], pool[draw.integers(0, 50) :]
+        bits = int(np.unpackbits((minhash.parity_map(a) ^ minhash.parity_map(b)).view(np.uint8)).sum())
+        assert bits <= len(np.setxor1d(a, b))
 
 
 def test_empty(spark):
