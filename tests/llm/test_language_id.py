@@ -60,7 +60,11 @@ def test_held_out_accuracy_and_edges(spark):
     model = li.LanguageModel.train(li.training_sample(df))
     assert model.names == sorted(LANGS)
     out = {r["doc_id"]: r for r in li.identify(df, model).collect()}
-    assert np.mean([out[i]["lang_pred"] == lang for i, _, lang in data]) > 0.99
+    import zlib
+
+    unseen = [(i, lang) for i, _, lang in data if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert len(unseen) > 40
+    assert np.mean([out[i]["lang_pred"] == lang for i, lang in unseen]) > 0.99
     assert [out[i]["lang_pred"] for i in (1000, 1001, 1002, None, 1003, 1004)] == ["und", "und", "und", "xx", "xx", "xx"]
     assert out[1005]["lang_pred"] in LANGS
     assert all(0 <= r["score"] <= 1 for r in out.values())
@@ -87,3 +91,37 @@ def test_held_out_rows_are_never_read(spark):
 @pytest.mark.parametrize("text", ["É", "ß", "ſ", "İ"])
 def test_odd_letters_do_not_fail(text):
     assert li.Parser(li.LanguageModel.train({"a": "abc"})).predict([text])[0][0] == "a"
+
+
+def spoken(lang, draw, words):
+    """Words of two letters and more of an alphabet of 1,500 letters that no other language has."""
+    base = (0x3400, 0x4E00, 0xAC00, 0x1200, 0xA000, 0x20000, 0x24000, 0xB600)[lang]
+    letters = [c for c in map(chr, range(base, base + 3000)) if c.isalpha()][:1500]
+    return " ".join("".join(draw.choice(letters) for _ in range(draw.randrange(2, 6))) for _ in range(words))
+
+
+def test_scripts_of_many_letters_stay_apart():
+    draw = random.Random(9)
+    model = li.LanguageModel.train({f"l{k}": spoken(k, draw, 3000) for k in range(8)})
+    texts = [(f"l{k}", spoken(k, draw, 60)) for k in range(8) for _ in range(10)]
+    found = li.Parser(model).predict([t for _, t in texts])
+    assert [f[0] for f in found] == [lang for lang, _ in texts]
+
+
+def test_acceptance_does_not_depend_on_the_number_of_languages(spark):
+    draw = random.Random(10)
+    syllables = [a + b for a in "bcdfghklmnprstvz" for b in "aeiou"]
+    own = {f"l{k:02d}": draw.sample(syllables, 12) for k in range(40)}
+    say = lambda lang: " ".join(draw.choice(own[lang]) + draw.choice(own[lang]) for _ in range(40))
+    data = [(i, say(lang), lang) for i, lang in enumerate(sorted(own) * 6)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = li.LanguageModel.train(li.training_sample(df))
+    assert len(model.names) == 40 and int(model.sizes.sum()) <= li.TOTAL_CHARS
+    assert li.accepted(df, model).count() == len(data)
+
+
+def test_rows_that_are_accepted(spark):
+    df = spark.createDataFrame([(1, "kaki tatu", "x", 1), (2, None, "x", 2), (3, "", "x", 3), (4, "12", "x", 4), (1, "kaki tatu", "x", 1), (None, "KAKI", None, 5)], "doc_id long, text string, lang string, score int")
+    model = li.LanguageModel.train({"xx": "kaki tatu kuta", "yy": "bel bol gam"})
+    assert sorted(map(tuple, li.accepted(df, model).collect()), key=str) == [(1, "kaki tatu", "x", 1), (1, "kaki tatu", "x", 1), (None, "KAKI", None, 5)]
+    assert li.accepted(df, li.LanguageModel.train({})).count() == 0

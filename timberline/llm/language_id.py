@@ -22,13 +22,18 @@ from .common import map_arrow, ship
 
 #: Bounds of the training sample, per language: rows, characters of one row, characters.
 SAMPLE_ROWS, ROW_CHARS, LANGUAGE_CHARS = 64, 4_000, 40_000
-#: Letters with a symbol of their own; 0 stands for anything else than a letter, 1 for other letters.
-ALPHABET = 62
+#: Bounds for all languages together: the labels learned (the most frequent ones), and characters.
+#: The parsing table has at most 2 states of 256 bytes a symbol, usually 1.4.
+MAX_LANGUAGES, TOTAL_CHARS = 256, 400_000
+#: Letters with a symbol of their own. Every other letter is spelled by the
+#: hexadecimal digits of its code point, 4 or 6 of the symbols from DIGITS on, so
+#: letters of any script stay apart. 0 stands for anything else than a letter.
+ALPHABET, DIGITS, WIDTH = 46, 48, 64
 #: Texts are parsed in segments of so many symbols, side by side; a segment's start begins a phrase.
 SEGMENT = 256
 UNDETERMINED = "und"
-#: Least score with which a filter accepts a document.
-MIN_SCORE = 0.3
+#: A filter accepts documents with a greater score: 0.5 is a tie of the two best languages, however many there are.
+MIN_SCORE = 0.5
 _CODES = 0x110000
 
 
@@ -55,6 +60,23 @@ def _squeezed(symbols: np.ndarray) -> np.ndarray:
     return symbols[keep]
 
 
+def _spelled(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Symbols of folded code points; letters without a symbol become digits."""
+    out = table[codes]
+    other = np.flatnonzero(out == 1)
+    if not len(other):
+        return out
+    places = np.where(codes[other] > 0xFFFF, 6, 4)
+    times = np.ones(len(out), dtype=np.int64)
+    times[other] = places
+    start = (np.cumsum(times) - times)[other]
+    out = np.repeat(out, times)
+    for k in range(6):
+        has = places > k
+        out[start[has] + k] = DIGITS + ((codes[other[has]] >> (4 * k)) & 15)
+    return out
+
+
 def suffix_automaton(symbols, width: int) -> np.ndarray:
     """Transitions ``[state, symbol]`` of the automaton of all substrings; -1 where there is none."""
     step: list[dict[int, int]] = [{}]
@@ -111,7 +133,7 @@ class LanguageModel:
         texts = {name: folded[_codes(text)] for name, text in sorted(samples.items())}
         texts = {name: t for name, t in texts.items() if t.any()}
         if not texts:
-            return cls([], {}, np.empty((0, ALPHABET + 2), dtype=np.int32), np.empty(0, dtype=np.int32), np.empty(0))
+            return cls([], {}, np.empty((0, WIDTH), dtype=np.int32), np.empty(0, dtype=np.int32), np.empty(0))
         # Every language has the same say in which letters get a symbol.
         share = np.zeros(_CODES)
         for t in texts.values():
@@ -122,8 +144,8 @@ class LanguageModel:
         coded = lookup(symbols)
         parts, roots, sizes, base = [], [], [], 0
         for t in texts.values():
-            s = _squeezed(coded[t])
-            raw = suffix_automaton(s.tolist(), ALPHABET + 2)
+            s = _squeezed(_spelled(t, coded))
+            raw = suffix_automaton(s.tolist(), WIDTH)
             start = np.where(raw[0] >= 0, raw[0], 0)
             table = np.where(raw >= 0, 2 * (raw + base), 2 * (start[None, :] + base) + 1)
             table[0] |= 1  # whatever leaves the root begins a phrase
@@ -149,7 +171,7 @@ class Parser:
     def __init__(self, model: LanguageModel):
         folded = _folded()
         self.model = model
-        self.coded = lookup(model.symbols)[folded]
+        self.folded, self.coded = folded, lookup(model.symbols)
         self.flat = model.tables.reshape(-1)
         self.width = model.tables.shape[1]
 
@@ -183,7 +205,7 @@ class Parser:
         return out
 
     def symbols(self, text: str) -> np.ndarray:
-        return _squeezed(self.coded[_codes(text)])
+        return _squeezed(_spelled(self.folded[_codes(text)], self.coded))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """``(language, score, bits per symbol)`` of each text."""
@@ -198,9 +220,9 @@ class Parser:
                 out.append((UNDETERMINED, 0.0, 0.0))
                 continue
             best = int(np.argmin(row))
-            # The share of evidence: 1 / L if all languages parse alike, near 1 if one stands out.
-            weight = (row[best] / row) ** 4
-            out.append((self.model.names[best], float(1 / weight.sum()), float(row[best] / len(t))))
+            # Against the second best alone: 0.5 if both parse alike, near 1 if the best stands out.
+            second = np.partition(row, 1)[1] if len(row) > 1 else np.inf
+            out.append((self.model.names[best], float(1 / (1 + (row[best] / second) ** 4)), float(row[best] / len(t))))
         return out
 
 
@@ -213,17 +235,21 @@ def training_sample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """A bounded sample of labelled text per language, the same for the same table.
 
     Per language at most SAMPLE_ROWS rows, those of least id hash, at most
-    ROW_CHARS characters of each and LANGUAGE_CHARS in all. Held-out rows and
-    rows with a null id, text or language are never read. Spark keeps only
-    each task's best rows before the shuffle, so no language is hot.
+    ROW_CHARS characters of each and LANGUAGE_CHARS in all. Of more than
+    MAX_LANGUAGES labels the most frequent are learned, and where many share
+    TOTAL_CHARS, each has less. Held-out rows and rows with a null id, text or
+    language are never read; an empty table gives an empty sample. Spark keeps
+    only each task's best rows before the shuffle, so no language is hot.
     """
     usable = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    rows = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, ROW_CHARS).alias("text"))
+    names = [r["lang"] for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()]
+    most = min(LANGUAGE_CHARS, TOTAL_CHARS // max(1, len(names)))
+    rows = usable.filter(F.col(lang_col).isin(names)).select(F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, min(ROW_CHARS, most)).alias("text"))
     order = W.partitionBy("lang").orderBy("h", "text")
     picked = rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= SAMPLE_ROWS).orderBy("lang", "nth").collect()
     out: dict[str, str] = {}
     for row in picked:
-        out[row["lang"]] = (out.get(row["lang"], "") + "\n" + row["text"])[:LANGUAGE_CHARS]
+        out[row["lang"]] = (out.get(row["lang"], "") + "\n" + row["text"])[:most]
     return out
 
 
@@ -246,7 +272,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
 
 def _share(df: DataFrame, model: LanguageModel):
-    # Bounded: LANGUAGE_CHARS fixes an automaton's states, so the size follows the number of languages.
+    # Bounded: TOTAL_CHARS fixes the states of all automata together.
     return df.sparkSession.sparkContext.broadcast(model)
 
 
@@ -266,12 +292,18 @@ def _predicted(batches, column: int, model: LanguageModel):
 
 
 def accepted(df: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``df``, all columns, whose language is determined with ``min_score`` or more; no shuffle."""
+    """The rows of ``df``, all columns, whose language is determined with a score over ``min_score``; no shuffle.
+
+    Rows whose text is null, empty or without a letter go; if no language was
+    learned, all go. Repeated rows share their fate, ties between the two best
+    languages go, and an empty table stays empty. Texts of any
+    length are parsed whole. Columns may have any names but that of the text.
+    """
     shared, column = _share(df, model), df.columns.index(text_col)
 
     def run(batches):
         for part, found in _predicted(batches, column, shared.value):
-            yield part.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score, _ in found]))
+            yield part.filter(pa.array([lang != UNDETERMINED and score > min_score for lang, score, _ in found]))
 
     ship(df.sparkSession)
     return df.mapInArrow(run, df.schema)
