@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from timberline.session import materialise, shared_path, ship
 
-__all__ = ["Memo", "ascii_lower", "map_arrow", "materialise", "shared_path", "ship", "table"]
+__all__ = ["Memo", "ascii_lower", "map_arrow", "materialise", "path_exists", "shared_path", "ship", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the Hadoop file system that owns it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 class Memo(dict):
     """A bounded memo in two generations; what is used again survives."""
 

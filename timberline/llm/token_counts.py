@@ -1,7 +1,9 @@
 """Token counts from flat, unindexed token files, by scanning for separators.
 
 A token file is nothing but little-endian 16-bit token ids, a separator behind
-every document. Files are searched block by block with vector operations. A
+every document. Every task writes its documents in the order in which it reads
+them, and in the same attempt their ids to a file of the same name elsewhere, so
+tokens are never shuffled. Files are searched block by block with vector operations. A
 block reports how many tokens and separators it has and where its first and
 last separator lie; a prefix scan over the blocks of a file then yields every
 document's length, those that lie across blocks included.
@@ -16,47 +18,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import library_codec
-from .common import map_arrow, materialise
+from .common import map_arrow, path_exists
 
 #: The id free for a separator beside the 50,256 ranks of the public vocabulary.
 SEPARATOR = 50256
 #: Tokens per block of the scan.
 BLOCK = 1 << 20
-#: Bytes of text that one file should hold; shards follow the input's size.
-FILE_BYTES = 48 << 20
+#: Documents to a file.
+FILE_ROWS = 20_000
+#: Bytes of text encoded before rows are handed on.
+PART_BYTES = 4 << 20
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
-def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, shards: int | None = None, vocab_path: str | None = None) -> DataFrame:
+def write_token_files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", separator: int = SEPARATOR, file_rows: int = FILE_ROWS, vocab_path: str | None = None) -> DataFrame:
     """Write the tokens of all rows below ``path`` and return ``(shard, nth, id_col)``.
 
-    A document's shard is a hash of its id and text, and within a shard
-    documents are ordered by id (nulls first) and text digest, so the returned
-    table says which document is the ``nth`` (from 0) of its shard; the files
-    themselves hold no index. Null texts are empty documents. Rows that repeat
-    are repeated. The separator ends each row, as the text writer's line end.
+    A shard is one file of at most ``file_rows`` documents below
+    ``kind=tokens``; the file of the same name below ``kind=ids`` lists their
+    ids, which the returned table is read from. Null texts are empty documents.
+    Rows that repeat are repeated, null ids are kept, extra columns are not
+    read, and texts of any length are encoded whole. The separator ends each
+    row, as the text writer's line end. An empty table gives no files.
     """
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = base.withColumn("mark", F.xxhash64("text"))
-    if shards is None:
-        size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(1, -(-size // FILE_BYTES))
-    keyed = keyed.withColumn("shard", F.pmod(F.xxhash64("id", "mark"), F.lit(shards)).cast("int"))
-    placed = materialise(keyed.select("shard", "id", "mark"), "token-places")
-    order = W.partitionBy("shard").orderBy(F.col("id").asc_nulls_first(), "mark")
-    places = placed.select("shard", (F.row_number().over(order) - 1).cast("long").alias("nth"), F.col("id").alias(id_col))
+    spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
+    end = separator.to_bytes(2, "little")
 
     def run(batches):
         own = library_codec(vocab_path)
         for batch in batches:
-            tokens = [b"".join(np.array(x, dtype="<u2").tobytes() for x in own.blocks(t)) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(tokens, pa.binary())], ["shard", "id", "mark", "tokens"])
+            texts, at = batch.column(1), 0
+            while at < batch.num_rows:
+                tokens, size = [], 0
+                while at + len(tokens) < batch.num_rows and size < PART_BYTES:
+                    text = texts[at + len(tokens)].as_py() or ""
+                    tokens.append(b"".join(np.array(x, dtype="<u2").tobytes() for x in own.blocks(text)))
+                    size += len(text)
+                ids = [b"-" if i is None else i.encode().hex().encode() for i in batch.column(0).slice(at, len(tokens)).to_pylist()]
+                at += len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(ids) + ["ids"] * len(ids)), pa.array(tokens + ids, pa.binary())], ["kind", "value"])
+
+    coded = map_arrow(df.select(F.col(id_col).cast("string"), text_col), run, "kind string, value binary")
+    before = spark.conf.get(_WRITERS, "0")
+    # Both kinds are written side by side, so rows stay in order without a sort.
+    spark.conf.set(_WRITERS, "2")
+    try:
+        rows = coded.select("kind", F.col("value").cast("string").alias("value"))
+        rows.write.partitionBy("kind").option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", file_rows).text(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
+    if not path_exists(spark, f"{path}/kind=ids"):
+        return df.select(F.lit("").alias("shard"), F.lit(0).cast("long").alias("nth"), id_col).limit(0)
+
+    def listed(batches):
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = [None if x == b"-" else bytes.fromhex(x.decode()).decode() for x in _ended(content, end)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids)), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.string())], ["shard", "nth", "id"])
+
+    ids = map_arrow(_files(spark, f"{path}/kind=ids"), listed, "shard string, nth long, id string")
+    return ids.select("shard", "nth", F.col("id").cast(id_type).alias(id_col))
+
+
+def _ended(content: bytes, end: bytes) -> list[bytes]:
+    """The parts of ``content``, each with ``end`` behind it. Ids are hexadecimal, so the end is told by what is no digit."""
+    if not (set(end) - set(b"0123456789abcdef-")):
+        raise ValueError("a separator must have a byte that is no hexadecimal digit")
+    return content.split(end)[:-1]
 
-    coded = map_arrow(keyed.select("shard", "id", "mark", "text"), run, f"shard int, id {id_type}, mark long, tokens binary")
-    rows = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "mark")
-    end = separator.to_bytes(2, "little").decode("latin-1")
-    rows.select("shard", F.col("tokens").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
-    return places
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``(shard, content)`` of the files below ``path``, by their names."""
+    return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("shard"), "content")
 
 
 def scan_block(tokens: np.ndarray, separator: int = SEPARATOR) -> tuple[int, int, int, int, np.ndarray]:
@@ -71,7 +105,7 @@ def scan_block(tokens: np.ndarray, separator: int = SEPARATOR) -> tuple[int, int
 
 
 def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
-    """``(shard, nth, n_tokens)`` for each document of the token files below ``path``.
+    """``(shard, nth, n_tokens)`` for each document of the token files below ``path/kind=tokens``.
 
     Documents are counted from 0 within each shard. Tokens behind the last
     separator of a file are a document too; a file of an odd number of bytes
@@ -88,12 +122,11 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
                 for serial, at in enumerate(range(0, len(tokens), block)):
                     n, seps, first, last, inner = scan_block(tokens[at : at + block], separator)
                     values = [[shard], [serial], [n], [seps], [first], [last], [inner]]
-                    kinds = [pa.int32()] + [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                    kinds = [pa.string()] + [pa.int64()] * 5 + [pa.list_(pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
 
     names = ["shard", "block", "n", "seps", "first", "last", "inner"]
-    files = spark.read.format("binaryFile").option("basePath", path).load(f"{path}/shard=*")
-    blocks = map_arrow(files.select(F.col("shard").cast("int"), "content"), run, "shard int, block long, n long, seps long, first long, last long, inner array<long>")
+    blocks = map_arrow(_files(spark, f"{path}/kind=tokens"), run, "shard string, block long, n long, seps long, first long, last long, inner array<long>")
     # The stitch: absolute positions, documents and the separator before a block are running sums and maxima.
     earlier = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy("shard")
@@ -110,9 +143,12 @@ def count_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, blo
 
 
 def document_token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Write token files for ``df``, scan them, and return ``(id_col, n_tokens)`` per row."""
+    """Write token files for ``df``, scan them, and return ``(id_col, n_tokens)`` per row.
+
+    Same rules as :func:`write_token_files`; an empty table gives an empty result.
+    """
     places = write_token_files(df, path, id_col, text_col, **options)
-    if places.isEmpty():  # then there are no files either
+    if not path_exists(df.sparkSession, f"{path}/kind=tokens"):
         return places.select(id_col, F.lit(0).cast("long").alias("n_tokens"))
     counts = count_tokens(df.sparkSession, path, options.get("separator", SEPARATOR))
     return counts.join(places, ["shard", "nth"]).select(id_col, "n_tokens")
