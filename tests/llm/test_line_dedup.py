@@ -7,55 +7,38 @@ from timberline.llm import line_dedup as ld
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 8), max_size=25), st.lists(st.integers(0, 8), max_size=25))
-def test_matches_are_an_alignment(a, b):
-    found = ld.patience_match(a, b)
-    assert all(a[i] == b[j] for i, j in found)
-    assert all(p < r and q < s for (p, q), (r, s) in zip(found, found[1:]))
-
-
-def test_unique_lines_take_the_longest_increasing_run():
-    draw = random.Random(2)
-    for _ in range(30):
-        a = draw.sample(range(1, 9), 8)
-        b = draw.sample(range(1, 9), 8)
-        best = max((m for m in range(1 << 8)), key=lambda m: (len(s) if (s := [b.index(a[i]) for i in range(8) if m >> i & 1]) == sorted(s) else -1))
-        # Fences on either side keep the common ends from deciding first.
-        found = ld.patience_match([-1, *a, -2], [-3, *b, -4])
-        assert len(found) == bin(best).count("1")
-
-
-def test_blocks_need_words():
-    assert ld.repeated_lines([1, 2, 3, 9], [7, 1, 2, 3], [5, 10, 10, 10], 20) == [1, 2, 3]
-    assert ld.repeated_lines([1, 2, 3, 9], [7, 1, 2, 3], [5, 10, 10, 10], 31) == []
-    assert ld.repeated_lines([1, 8, 2], [1, 2], [10, 10], 20) == []
-
-
-def brute(rows, rare=ld.RARE):
-    """Partners by looking at every line, and the same rule of deletion."""
-    words = lambda x: len(x.split())
-    strip = lambda x: x.strip(" ")
-    lines = {i: t.split("\n") for i, t in rows if i is not None and t is not None}
-    holders = {}
-    for i, own in lines.items():
-        for x in {strip(x) for x in own if words(x) >= ld.PAIR_WORDS}:
-            holders.setdefault(x, []).append(i)
-    pairs = set()
-    for ids in holders.values():
-        ids.sort()
-        pairs |= {(i, ids[0]) for i in ids[1:]}
-        if len(ids) <= rare:
-            pairs |= set(zip(ids[1:], ids))
-    gone = {i: set() for i in lines}
-    for later, earlier in pairs:
-        a, b = ([hash(strip(x)) for x in lines[k]] for k in (earlier, later))
-        gone[later] |= set(ld.repeated_lines(a, b, [words(x) for x in lines[later]]))
-    out = []
-    for i, t in rows:
-        own = gone.get(i, set()) if t is not None else set()
-        parts = [] if t is None else t.split("\n")
-        out.append((i, None if t is None else "\n".join(x for n, x in enumerate(parts) if n not in own), len(parts), sorted(own)))
-    return sorted(out, key=str)
+@given(st.lists(st.integers(0, 12), max_size=12))
+def test_longest_increasing(values):
+    found = ld.longest_increasing(values)
+    picked = [values[n] for n in found]
+    assert found == sorted(set(found)) and all(p < q for p, q in zip(picked, picked[1:]))
+    best = max((bin(m).count("1") for m in range(1 << len(values)) if (x := [v for n, v in enumerate(values) if m >> n & 1]) == sorted(set(x))), default=0)
+    assert len(found) == best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=30))
+def test_increasing_parts(values):
+    parts = ld.increasing_parts(values)
+    assert sorted(n for part in parts for n in part) == list(range(len(values)))
+    for part in parts:
+        assert part == sorted(part) and all(values[p] < values[q] for p, q in zip(part, part[1:]))
+    # As few as the longest run that never increases is long.
+    best = [1] * len(values)
+    for n in range(len(values)):
+        best[n] = 1 + max((best[m] for m in range(n) if values[m] >= values[n]), default=0)
+    assert len(parts) == max(best, default=0)
+
+
+def test_blocks_of_a_pair():
+    # Lines 10-13 of the earlier document stand at 2-5, line 40 after them, line 5 was moved behind both, and all is said twice.
+    runs = [(2, 4, 10), (3, 5, 11), (4, 6, 12), (8, 9, 40), (9, 10, 5), (20, 22, 10)]
+    assert ld.align(*map(list, zip(*runs))) == [(2, 6, 10), (8, 9, 40), (9, 10, 5), (20, 22, 10)]
+
+
+def plain(text):
+    """Text without lines, by positions."""
+    return lambda gone: None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if n not in gone)
 
 
 def test_documents(spark):
@@ -70,12 +53,20 @@ def test_documents(spark):
         if draw.random() < 0.6:
             own.append("a very common line of the whole corpus, as licences have")
         rows.append((i, "\n".join(own)))
-    rows += [(100, None), (101, ""), (102, "\n\n"), (None, "\n".join(passage)), (103, "\n".join(["  " + x + " " for x in passage])), (104, "x " * 100000), (105, rows[0][1]), (106, "\n".join(passage) + "\n" + "\n".join(passage))]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, mark int")
-    for rare in (ld.RARE, 2):
-        got = sorted((tuple(r) for r in ld.delete_repeats(df, rare=rare).collect()), key=str)
-        assert [(i, t, n, list(g)) for i, t, n, g in got] == brute(rows, rare)
-    assert any(g for _, _, _, g in brute(rows))
+    rows += [(101, ""), (102, "\n\n"), (103, "\n".join(["  " + x + " " for x in passage])), (104, "x " * 100000), (105, rows[0][1]), (106, "\n".join(passage) + "\n" + "\n".join(passage))]
+    wanted = all_pairs(rows)
+    odd = [(100, None), (None, "\n".join(passage))]
+    df = spark.createDataFrame([(*r, 1, "b") for r in rows + odd], "doc_id long, text string, mark int, blocks string")
+    got = {r["doc_id"]: r for r in ld.delete_repeats(df).collect()}
+    for i, t in rows:
+        assert list(got[i]["removed"]) == wanted[i] and got[i]["text"] == plain(t)(wanted[i]) and got[i]["n_lines"] == len(t.split("\n"))
+        texts = dict(rows)
+        assert sorted({n for b in got[i]["blocks"] for n in range(b["start"], b["end"])}) == wanted[i]
+        for b in got[i]["blocks"]:
+            lines = lambda k, at, n: [x.strip(" ") for x in texts[k].split("\n")[at : at + n]]
+            assert b["other"] < i and lines(i, b["start"], b["end"] - b["start"]) == lines(b["other"], b["other_start"], b["end"] - b["start"])
+    assert (got[100]["text"], got[100]["n_lines"], got[None]["removed"]) == (None, 0, [])
+    assert sum(map(bool, wanted.values())) > 10
     assert ld.delete_repeats(df.limit(0)).count() == 0
 
 
@@ -118,9 +109,14 @@ def test_short_lines_and_scripts_without_blanks(spark):
     assert removed(spark, rows) == {1: [], 2: list(range(1, 31)), 3: [], 4: [1, 2, 3], 5: [], 6: [0, 1, 2], 7: [], 8: [], 9: [], 10: []}
 
 
+def test_holders_of_single_lines_hide_no_overlap(spark):
+    x, y = (" ".join(f"{c}{i}" for i in range(12)) for c in "xy")
+    rows = [(1, x), (2, y), (3, f"{x}\n{y}"), (4, f"a\n{x}"), (5, f"{y}\nb"), (6, f"{x}\n{y}")]
+    assert removed(spark, rows) == {1: [], 2: [], 3: [], 4: [], 5: [], 6: [0, 1]} == all_pairs(rows)
+
+
 def test_passages_said_twice(spark):
     p = " ".join(f"w{i}" for i in range(25))
     q = [" ".join(f"{c}{i}" for i in range(12)) for c in "klm"]
     rows = [(1, f"x\n{p}\ny"), (2, f"a\n{p}\nb\n{p}\nc"), (3, "\n".join(["x", *q, "y"])), (4, "\n".join(["a", *q, "b", *q, "c"]))]
     assert removed(spark, rows) == {1: [], 2: [1, 3], 3: [], 4: [1, 2, 3, 5, 6, 7]}
-    assert ld.repeated_lines([8, 1, 9], [5, 1, 6, 1, 7], [1, 25, 1, 25, 1]) == [1, 3]

@@ -3,83 +3,43 @@
 A passage is a run of neighbouring lines with at least ``block_words`` words
 that stands likewise in an earlier document. Every such run is covered by
 shortest runs: those that from one of its lines on, or up to one of its lines,
-just reach the words asked for. So each document names its shortest runs by
-their hashes, and a run whose first holder is an earlier document is deleted.
-That is linear in the number of lines, however frequent a line is, and gives
-what comparing all pairs of documents would: no block that any alignment of any
-pair finds is missed, and passages may be moved or said twice.
+just reach the words asked for. Documents that overlap are found through the
+hashes of these runs: each that several documents hold pairs the later ones
+with its first holder. That is linear in the number of lines however frequent a
+line is, and leaves out no pair that matters: whatever a document has in common
+with any earlier one, the first holders of the runs have as well. A pair's
+shared runs are aligned by patience, and the aligned blocks are deleted from
+the later document. What one alignment leaves over, as passages that were moved
+or said twice, is aligned again, so in the end every shared run is.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import map_arrow, materialise
 
-#: With ``rare`` (see ``delete_repeats``): lines in at most so many documents are rare.
-RARE = 16
-#: With ``rare``: words a line needs to bring two documents together.
-PAIR_WORDS = 4
 #: Words that a passage needs to be deleted.
 BLOCK_WORDS = 20
 #: Base of the hashes of runs, odd and 3 modulo 4, and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C17
 UNBASE = pow(BASE, -1, 1 << 64)
+#: Lines looked at together in a worker; a document is never divided.
+PART_LINES = 1 << 16
 
-
-def patience_match(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned positions of two sequences, increasing in both.
-
-    Common ends are matched; of what is between, the elements that occur once on
-    either side are matched along their longest increasing run, and the gaps
-    are treated alike. A gap without such elements stays unmatched, so this is
-    not what deletion goes by: ``repeated_lines`` finds all common runs.
-    """
-    out: list[tuple[int, int]] = []
-    gaps = [(0, len(a), 0, len(b))]
-    while gaps:
-        i, i_end, j, j_end = gaps.pop()
-        while i < i_end and j < j_end and a[i] == b[j]:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        while i < i_end and j < j_end and a[i_end - 1] == b[j_end - 1]:
-            i_end, j_end = i_end - 1, j_end - 1
-            out.append((i_end, j_end))
-        if i >= i_end or j >= j_end:
-            continue
-        left, right = Counter(a[i:i_end]), Counter(b[j:j_end])
-        at = {x: n for n, x in enumerate(a[i:i_end], i) if left[x] == 1}
-        common = [(at[x], n) for n, x in enumerate(b[j:j_end], j) if right[x] == 1 and x in at]
-        if not common:
-            continue
-        # Longest run that increases in a as well: piles with back pointers.
-        tops: list[int] = []
-        piles: list[int] = []
-        back = [-1] * len(common)
-        for n, (x, _) in enumerate(common):
-            p = bisect_left(tops, x)
-            back[n] = piles[p - 1] if p else -1
-            if p == len(tops):
-                tops.append(x)
-                piles.append(n)
-            else:
-                tops[p], piles[p] = x, n
-        n, run = piles[-1], []
-        while n >= 0:
-            run.append(common[n])
-            n = back[n]
-        run.reverse()
-        out += run
-        edges = [(i - 1, j - 1), *run, (i_end, j_end)]
-        gaps += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(edges, edges[1:]) if p + 1 < r and q + 1 < s]
-    return sorted(out)
+#: Scripts written without blanks: each of their letters, with its marks, counts as a word.
+_UNSPACED = (
+    r"\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff"
+    r"\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\ua980-\ua9df\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+)
+_LETTER = regex.compile(rf"(?V1)[[{_UNSPACED}]&&[\p{{L}}\p{{Nl}}]]\p{{M}}*")
 
 
 def shortest_runs(words: np.ndarray, first: np.ndarray, end: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,130 +63,162 @@ def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return ((sums[ends] - sums[starts]) * power(UNBASE)[starts]).astype(np.int64)
 
 
-def covered(starts, ends) -> np.ndarray:
-    """Positions in at least one run."""
-    edges = np.zeros(int(max(ends, default=0)) + 1, np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, ends, -1)
-    return np.flatnonzero(np.cumsum(edges) > 0)
-
-
-def repeated_lines(earlier: list[int], later: list[int], words: list[int], block_words: int = BLOCK_WORDS) -> list[int]:
-    """Positions of ``later`` in runs of at least ``block_words`` words that ``earlier`` has too.
-
-    A run's lines are neighbours on both sides. It may stand anywhere and more than once.
+def described(text: bytes) -> tuple[list[int], list[int]]:
+    """Hash and number of words of every line. Blanks at a line's ends do not count."""
+    lines = text.split(b"\n")
+    hashes = [xxhash.xxh3_64_intdigest(x.strip(b" ")) for x in lines]
+    if text.isascii() or not _LETTER.search(whole := text.decode("utf-8", "replace")):
+        return hashes, [len(x.split()) for x in lines]
+    return hashes, [len(_LETTER.sub(" x ", x).encode().split()) for x in whole.split("\n")]
+
+
+def longest_increasing(values: list[int]) -> list[int]:
+    """Positions of a longest strictly increasing subsequence, by patience sorting with back pointers."""
+    tops: list[int] = []
+    piles: list[int] = []
+    back = [-1] * len(values)
+    for n, x in enumerate(values):
+        p = bisect_left(tops, x)
+        back[n] = piles[p - 1] if p else -1
+        if p == len(tops):
+            tops.append(x)
+            piles.append(n)
+        else:
+            tops[p], piles[p] = x, n
+    n, out = (piles[-1] if piles else -1), []
+    while n >= 0:
+        out.append(n)
+        n = back[n]
+    return out[::-1]
+
+
+def increasing_parts(values: list[int]) -> list[list[int]]:
+    """Positions of all values, dealt to as few strictly increasing subsequences as possible."""
+    parts: list[list[int]] = []
+    least: list[int] = []  # negated last values, ascending
+    for n, x in enumerate(values):
+        p = bisect_left(least, 1 - x)
+        if p == len(parts):
+            parts.append([n])
+            least.append(-x)
+        else:
+            parts[p].append(n)
+            least[p] = -x
+    return parts
+
+
+def align(starts: list[int], ends: list[int], others: list[int]) -> list[tuple[int, int, int]]:
+    """Aligned blocks ``(start, end, start in the earlier document)`` of one pair.
+
+    Given are the shared runs of the later document, by start, and where each
+    stands in the earlier one. A run that stands at one place there may be said
+    several times here: first sayings are aligned with each other, then second
+    ones, and so on. Of each, the longest run increasing on both sides is the
+    alignment; moved runs that it leaves over are aligned in further ones.
     """
-    known = dict(zip(later, words, strict=True))
-
-    def runs(lines):
-        n = len(lines)
-        found = shortest_runs(np.array([known.get(x, 0) for x in lines], np.int64), np.zeros(n, np.int64), np.full(n, n), block_words)
-        return [(s, e, tuple(lines[s:e])) for s, e in zip(*(x.tolist() for x in found), strict=True)]
+    said: dict[tuple[int, int], int] = {}
+    turns: dict[int, list[int]] = {}
+    for n, (s, e, o) in enumerate(zip(starts, ends, others, strict=True)):
+        nth = said[o, e - s] = said.get((o, e - s), -1) + 1
+        turns.setdefault(nth, []).append(n)
+    blocks: list[tuple[int, int, int]] = []
+    for own in turns.values():
+        chosen = set(longest_increasing([others[n] for n in own]))
+        left = [n for k, n in enumerate(own) if k not in chosen]
+        chains = [[own[k] for k in sorted(chosen)], *[[left[k] for k in part] for part in increasing_parts([others[n] for n in left])]]
+        for chain in chains:
+            for n in chain:
+                s, e, o = starts[n], ends[n], others[n]
+                if blocks and chain[0] != n and s - o == blocks[-1][0] - blocks[-1][2] and s <= blocks[-1][1]:
+                    blocks[-1] = (blocks[-1][0], max(e, blocks[-1][1]), blocks[-1][2])
+                else:
+                    blocks.append((s, e, o))
+    return sorted(blocks)
+
+
+def _named(batches, block_words: int):
+    """``(id, mark, h, s, e)`` for the shortest runs of ``(id, mark, text)``."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            sizes, hashes, words, first = [], [], [], at
+            while at < batch.num_rows and len(hashes) < PART_LINES:
+                own = described(batch.column(2)[at].as_buffer().to_pybytes())
+                sizes.append(len(own[0]))
+                hashes += own[0]
+                words += own[1]
+                at += 1
+            tops = np.concatenate(([0], np.cumsum(sizes)))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            starts, ends = shortest_runs(np.array(words, np.int64), tops[doc], tops[doc + 1], block_words)
+            h = run_hashes(np.array(hashes, np.uint64), starts, ends)
+            own = doc[starts]
+            which = pa.array(own + first)
+            columns = [batch.column(0).take(which), batch.column(1).take(which), pa.array(h), pa.array((starts - tops[own]).astype(np.int32)), pa.array((ends - tops[own]).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "h", "s", "e"])
+
+
+def _aligned(batches, block: pa.DataType):
+    """``(id, mark, blocks)`` of ``(id, mark, runs)``, ``runs`` with the earlier document's id and place."""
+    for batch in batches:
+        out = []
+        for runs in batch.column(2).to_pylist():
+            pairs: dict = {}
+            for r in sorted({(r["first"], r["s"], r["e"], r["o"]) for r in runs}, key=lambda r: r[1:]):
+                pairs.setdefault(r[0], []).append(r[1:])
+            out.append([dict(zip(("start", "end", "other", "other_start"), (s, e, other, o), strict=True)) for other, own in pairs.items() for s, e, o in align(*map(list, zip(*own, strict=True)))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(block))], ["id", "mark", "blocks"])
 
-    held = {run for _, _, run in runs(earlier)}
-    own = [(s, e) for s, e, run in runs(later) if run in held]
-    return covered([s for s, _ in own], [e for _, e in own]).tolist() if own else []
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-#: Letters of scripts written without blanks, with their marks: each counts as a word.
-UNSPACED = (
-    r"[\u0e00-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\u1b00-\u1b7f\u3005-\u3007\u3040-\u30ff\u3100-\u312f\u31a0-\u31bf\u31f0-\u31ff"
-    r"\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48f\ua980-\ua9df\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}&&[\p{L}\p{Nl}]]\p{M}*"
-)
+def overlaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """``(id, mark, blocks)`` of the documents that share passages with earlier ones; see :func:`delete_repeats`.
+
+    ``mark`` is the hash of the text, ``blocks`` an array of
+    ``(start, end, other, other_start)``: lines ``start`` to before ``end`` stand
+    likewise from line ``other_start`` on in the earlier document ``other``.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_field = df.schema[id_col].dataType
+    kind = id_field.simpleString()
+    block = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("other", to_arrow_type(id_field)), ("other_start", pa.int32())])
+    usable = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).cast("binary").alias("text")).filter("id is not null and text is not null")
+    runs = materialise(map_arrow(usable, lambda batches: _named(batches, block_words), f"id {kind}, mark long, h long, s int, e int"), "line-runs")
+    # Written, so that the join below reads shuffled rows on both sides and a frequent run is split.
+    shared = runs.groupBy("h").agg(F.min(F.struct("id", "s")).alias("held"), F.max("id").alias("last")).filter("held.id < last")
+    shared = materialise(shared.select("h", F.col("held.id").alias("first"), F.col("held.s").alias("o")), "first-holders")
+    met = runs.join(shared.hint("merge"), "h").filter("first < id").groupBy("id", "mark").agg(F.collect_list(F.struct("first", "s", "e", "o")).alias("runs"))
+    return map_arrow(met, lambda batches: _aligned(batches, block), f"id {kind}, mark long, blocks array<struct<start:int,end:int,other:{kind},other_start:int>>")
 
 
-def _words(line: Column, spaced: Column | None = None) -> Column:
-    """Words between blanks. Unless ``spaced`` says that there are none, letters of unspaced scripts are words."""
-    count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")))
-    single = count(F.trim(F.regexp_replace(line, UNSPACED, " $0 ")))
-    return single if spaced is None else F.when(spaced, count(F.trim(line))).otherwise(single)
-
-
-def _paired(usable: DataFrame, rows: DataFrame, rare: int, pair_words: int, block_words: int, id_type: str) -> DataFrame:
-    """``(id, mark, gone)`` by a limited choice of pairs: see ``rare`` of ``delete_repeats``."""
-    lines = usable.select("id", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: _words(x) >= pair_words), lambda x: F.xxhash64(F.trim(x))))).alias("h")).distinct()
-    holders = lines.groupBy("h").agg(F.min("id").alias("first"), F.count("*").alias("df")).filter("df > 1")
-    hits = materialise(lines.join(holders, "h"), "shared-lines")
-    first = hits.filter("first < id").select("id", F.col("first").alias("other"))
-    before = hits.filter(F.col("df") <= rare).select("id", F.lag("id").over(W.partitionBy("h").orderBy("id")).alias("other")).filter("other is not null")
-    pairs = materialise(first.unionByName(before).distinct(), "line-pairs")
-    joined = pairs.join(rows.select(F.col("id").alias("other"), F.col("hashes").alias("before")), "other").join(rows, "id")
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                gone = [repeated_lines(p, q, w, block_words) for p, q, w in zip(*(part.column(c).to_pylist() for c in (2, 3, 4)), strict=True)]
-                keep = pa.array([bool(g) for g in gone])
-                out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "mark", "gone"])
-                yield out.filter(keep)
-
-    found = map_arrow(joined.select("id", "mark", "before", "hashes", "words"), run, f"id {id_type}, mark long, gone array<int>")
-    return found.groupBy("id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def _first_held(rows: DataFrame, block_words: int, id_type: str) -> DataFrame:
-    """``(id, mark, gone)``: all lines in runs of at least ``block_words`` words that an earlier document has."""
-
-    def name(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sizes = part.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                tops = np.concatenate(([0], np.cumsum(sizes)))
-                doc = np.repeat(np.arange(part.num_rows), sizes)
-                starts, ends = shortest_runs(part.column(3).flatten().to_numpy(zero_copy_only=False), tops[doc], tops[doc + 1], block_words)
-                h = run_hashes(part.column(2).flatten().to_numpy(zero_copy_only=False), starts, ends)
-                own = doc[starts]
-                which = pa.array(own)
-                columns = [part.column(0).take(which), part.column(1).take(which), pa.array(h), pa.array((starts - tops[own]).astype(np.int32)), pa.array((ends - tops[own]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "h", "s", "e"])
-
-    def merge(batches):
-        for batch in batches:
-            gone = [covered(s, e) for s, e in zip(batch.column(2), batch.column(3), strict=True) for s, e in [(s.values.to_numpy(), e.values.to_numpy())]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))], ["id", "mark", "gone"])
-
-    runs = materialise(map_arrow(rows, name, f"id {id_type}, mark long, h long, s int, e int"), "line-runs")
-    holders = runs.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("h", "first")
-    hits = runs.join(holders, "h").filter("first < id").groupBy("id", "mark").agg(F.collect_list(F.struct("s", "e")).alias("at"))
-    return map_arrow(hits.select("id", "mark", F.col("at.s").alias("s"), F.col("at.e").alias("e")), merge, f"id {id_type}, mark long, gone array<int>")
-
-
-def delete_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int | None = None, pair_words: int = PAIR_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of ``df``: ``(id_col, text, n_lines, removed)``.
+def delete_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per row of ``df``: ``(id_col, text, n_lines, removed, blocks)``.
 
     Lines are equal when equal without blanks at their ends. ``removed`` lists
     the positions deleted, counted from 0, and ``text`` is what is left: all
     but the lines in runs of at least ``block_words`` words that stand likewise
-    in an earlier document. The smaller id is the earlier document. A null text
-    stays null and has no lines; an empty text has one empty line. Rows with a
-    null id neither lose lines nor take them from others. Rows that repeat an
-    id are not compared with each other. An empty table gives an empty result;
-    extra columns are not read.
-
-    By default a document is compared with all earlier ones. Only where ``rare``
-    is given, that is limited to the first holder of each of its lines of at
-    least ``pair_words`` words and, for lines in at most ``rare`` documents, to
-    the holder just before it; passages of other pairs then stay.
+    in an earlier document; ``blocks`` says where (see :func:`overlaps`). The
+    smaller id is the earlier document. A null text stays null and has no
+    lines; an empty text has one empty line. Rows with a null id neither lose
+    lines nor take them from others. Rows that repeat an id are not compared
+    with each other. Lines and texts may be of any length. An empty table gives
+    an empty result; extra columns are not read.
     """
+    found = overlaps(df, id_col, text_col, block_words).select("id", "mark", "blocks", F.array_sort(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.sequence(b["start"], b["end"] - 1))))).alias("gone"))
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    usable = base.filter("id is not null and text is not null")
-    # Hashes stand for lines from here on: about a tenth of the text.
-    spaced = ~F.col("text").rlike(r"[\u0e00-\x{10ffff}]")
-    rows = usable.withColumn("spaced", spaced).select("id", "mark", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x))).alias("hashes"), F.transform(_lines(F.col("text")), lambda x: _words(x, F.col("spaced"))).alias("words"))
-    id_type = df.schema[id_col].dataType.simpleString()
-    found = _first_held(rows, block_words, id_type) if rare is None else _paired(usable, rows, rare, pair_words, block_words, id_type)
-    out = base.join(found, ["id", "mark"], "left")
+    out = base.join(found.hint("merge"), ["id", "mark"], "left")
     parts = _lines(F.col("text"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")), lambda i: F.get(parts, i))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     none = F.array().cast("array<int>")
     return out.select(
         F.col("id").alias(id_col),
         F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines"),
         F.coalesce("gone", none).alias("removed"),
+        F.coalesce("blocks", F.array().cast(found.schema["blocks"].dataType)).alias("blocks"),
     )
