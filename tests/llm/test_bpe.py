@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 
 import public_tokenizers as tokenizers
 import pytest
@@ -46,6 +47,19 @@ def test_blocks_do_not_change_the_ids(own, other, monkeypatch):
         assert own.encode(text) == other.encode_ordinary(text)
 
 
+def test_long_runs_take_linear_time(own, other):
+    began = time.time()
+    for run in (" ", "\n", " \n"):
+        text = "a" + run * (1_500_000 // len(run)) + "b"
+        ids = own.encode(text)
+        assert own.decode(ids) == text.encode()
+        assert bpe.library_codec().count(text) == len(ids)
+    # A quadratic way takes several times this for each.
+    assert time.time() - began < 60
+    text = "b" + " " * 70_000 + "x\n" * 70_000
+    assert bpe.library_codec().encode(text) == own.encode(text) == other.encode_ordinary(text)
+
+
 def test_memo_forgets_but_stays_right(other, monkeypatch):
     monkeypatch.setattr(bpe.ByteBPE, "MEMO", 4)
     small = bpe.ByteBPE(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)

@@ -76,6 +76,22 @@ def test_every_token_has_a_place(spark):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_groups_span_arrow_batches(spark):
+    draw = random.Random(8)
+    sizes = [draw.randrange(1, 900) for _ in range(3000)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        df = spark.createDataFrame(list(enumerate(sizes)), "id long, n_tokens long").coalesce(1)
+        out = packing.pack_lengths(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    _, _, capacity = packing.pack(sizes, packing.BinCosts())
+    bins, _, _ = packing.pack(sizes, packing.BinCosts())
+    assert len({r["bin_id"] for r in out}) == len(set(bins.tolist()))
+    assert sum({r["bin_id"]: r["capacity"] for r in out}.values()) == sum(capacity[np.unique(bins, return_index=True)[1]])
+
+
 def test_bad_lengths():
     with pytest.raises(ValueError):
         packing.BinCosts(())

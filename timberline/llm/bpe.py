@@ -176,7 +176,8 @@ class ByteBPE:
         longer run of white space touches a cut, the pieces are joined again.
         """
         pieces = text.split(" ")
-        held: str | None = pieces[0]  # text that may still grow
+        held: list[str] | None = [pieces[0]]  # parts of a text that may still grow
+        last = pieces[0][-1:]  # its last character
         for at in range(1, len(pieces), self.BLOCK):
             parts = list(map(self.piece.__getitem__, pieces[at : at + self.BLOCK]))
             if held is None and str not in set(map(type, parts)):
@@ -188,19 +189,20 @@ class ByteBPE:
                     if type(ids) is tuple:
                         out.extend(ids)
                     else:
-                        held = " " + piece
-                elif not held or held[-1].isspace() or not piece or piece[0].isspace():
-                    held = f"{held} {piece}"
+                        held, last = [" ", piece], piece[-1:] or " "
+                elif not last or last.isspace() or not piece or piece[0].isspace():
+                    held += (" ", piece)
+                    last = piece[-1:] or " "
                 else:
-                    out.extend(self._run(held))
+                    out.extend(self._run("".join(held)))
                     if type(ids) is tuple:
                         out.extend(ids)
                         held = None
                     else:
-                        held = " " + piece
+                        held, last = [" ", piece], piece[-1:] or " "
             yield out
         if held:
-            yield list(self._run(held))
+            yield list(self._run("".join(held)))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.blocks(text)))
@@ -213,14 +215,20 @@ class ByteBPE:
 
 
 class LibraryBPE(ByteBPE):
-    """The same ids with the tiktoken library doing the merges: for operators that only need tokens."""
+    """The same ids with the tiktoken library doing the merges: for operators that only need tokens.
+
+    Runs of more than LONG characters without a single space between others go
+    to the own encoder: the library fails on very long ones.
+    """
+
+    LONG = 1 << 16
 
     def __init__(self, vocab_path: str, pattern: str):
         import tiktoken
 
         self.ranks = read_ranks(vocab_path)
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
-        self._run = lambda text: tuple(encoding.encode_ordinary(text))
+        self._run = lambda text: tuple(encoding.encode_ordinary(text)) if len(text) <= self.LONG else codec(vocab_path, pattern)._run(text)
         self.piece = Memo(self._piece, self.MEMO)
 
 

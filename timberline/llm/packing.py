@@ -19,7 +19,7 @@ from .bpe import library_codec
 from .common import map_arrow, materialise
 
 LENGTHS = (512, 1024, 2048, 4096)
-#: Pieces packed together; what is lost at a group's end is a few bins.
+#: Pieces packed together, at least (but for the last group of a task); what is lost at a group's end is a few bins.
 GROUP = 1 << 16
 
 
@@ -91,10 +91,12 @@ def pack_lengths(lengths: DataFrame, id_col: str = "id", length_col: str = "n_to
 
     Documents longer than the greatest permitted length are cut into pieces of
     it. A document without tokens (or with a null length) is one row of length
-    0 whose bin is null. Equal rows and null ids are packed like any other. An
-    empty table gives an empty result. Groups of GROUP pieces are packed where
-    the rows lie, so there is no shuffle and memory is bounded; a written
-    table as input keeps bins the same when a task is run again.
+    0 whose bin is null. Equal rows and null ids are packed like any other, ties
+    in size go by the rows' order, extra columns are not read. An empty table
+    gives an empty result. A task packs its rows in groups of GROUP pieces, so
+    there is no shuffle and memory is bounded. Bins therefore depend on how rows
+    lie in files; a written table as input keeps them the same when a task is
+    run again.
     """
     costs = costs or BinCosts()
     top = max(costs.lengths)
@@ -106,27 +108,36 @@ def pack_lengths(lengths: DataFrame, id_col: str = "id", length_col: str = "n_to
 
         place, serial = TaskContext.get().partitionId(), 0
 
-        for batch in batches:
-            n = np.array([x or 0 for x in batch.column(1).to_pylist()], dtype=np.int64)
+        def packed(ids, n, groups):
+            nonlocal serial
             pieces = np.maximum(1, -(-n // top))
             owner = np.repeat(np.arange(len(n)), pieces)
             piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             size = np.minimum(n[owner] - piece * top, top)
-            held = [owner, piece, size]
-            for at in range(0, len(owner), GROUP):
-                part = [x[at : at + GROUP] for x in held]
+            for part in np.array_split(np.stack([owner, piece, size]), groups, axis=1):
                 full = part[2] > 0
                 bins, offsets, capacity = pack(part[2][full], costs)
                 spread = lambda values, full=full: pa.array(_scatter(values, full), mask=~full)
                 serial += 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(part[0])), pa.array(part[1].astype(np.int32)), pa.array(part[1] * top), pa.array(part[2].astype(np.int32)),
+                        ids.take(pa.array(part[0])), pa.array(part[1].astype(np.int32)), pa.array(part[1] * top), pa.array(part[2].astype(np.int32)),
                         spread(bins + (place << 40) + (serial << 20)), spread(offsets.astype(np.int32)), spread(capacity.astype(np.int32)),
                     ],
                     [id_col, "piece", "start", "length", "bin_id", "bin_offset", "capacity"],
                 )
 
+        ids, sizes, waiting = [], [], 0
+        for batch in batches:
+            ids.append(batch.column(0))
+            sizes.append(np.array([x or 0 for x in batch.column(1).to_pylist()], dtype=np.int64))
+            waiting += int(np.maximum(1, -(-sizes[-1] // top)).sum())
+            if waiting >= GROUP:
+                yield from packed(pa.concat_arrays(ids), np.concatenate(sizes), waiting // GROUP)
+                ids, sizes, waiting = [], [], 0
+        if waiting:
+            yield from packed(pa.concat_arrays(ids), np.concatenate(sizes), 1)
+
     return map_arrow(lengths.select(id_col, length_col), run, schema)
 
 
