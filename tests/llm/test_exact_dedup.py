@@ -44,7 +44,7 @@ def test_empty(spark):
 
 def test_chunks_cover_the_text_and_follow_its_content(spark):
     text = LONG.lower()
-    df = spark.createDataFrame([(text,), ("inserted " + text,), ("x" * 9000,)], "t string").select("t", exact_dedup.chunks_of(F.col("t")).alias("c")).collect()
+    df = spark.createDataFrame([(text,), ("inserted " + text,), ("x" * 9000,)], "t string").select("t", F.transform(exact_dedup.chunks_of(F.col("t")), lambda c: c.cast("string")).alias("c")).collect()
     for row in df:
         assert "".join(row["c"]) == row["t"] and max(map(len, row["c"])) <= exact_dedup.MAX_CHUNK
     shared = set(df[0]["c"]) & set(df[1]["c"])
@@ -58,3 +58,24 @@ def test_survivors_have_different_texts(spark):
     texts = [(r["text"] or "") for r in out.collect()]
     norm = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts]
     assert len(set(norm)) == len(norm) == len({x[4] for x in brute(ROWS)})
+
+
+def test_cuts_follow_the_content_of_any_alphabet(spark):
+    import random
+
+    draw = random.Random(4)
+    han = [chr(c) for c in range(0x4E00, 0x9FA0)]
+    kinds = {
+        "han": han, "cyrillic": [chr(c) for c in range(0x430, 0x450)] + [" "], "greek": [chr(c) for c in range(0x3B1, 0x3CA)], "astral": [chr(c) for c in range(0x20000, 0x22000)],
+        "base64": [*"abcdefghijklmnopqrstuvwxyz0123456789+/"], "digits": [*"0123456789"], "nucleotides": [*"acgt"], "mixed": han[:500] + [*"abcdefghijklmnopqrstuvwxyz     "] * 10,
+    }
+    texts = {k: "".join(draw.choice(a) for _ in range(40_000)) for k, a in kinds.items()}
+    rows = [(k, *[x for x in (t, t[:1] + t[:20_000] + t[5:6] * 3 + t[20_000:])]) for k, t in texts.items()]
+    df = spark.createDataFrame(rows, "kind string, a string, b string")
+    for r in df.select("kind", exact_dedup.chunks_of(F.col("a")).alias("a"), exact_dedup.chunks_of(F.col("b")).alias("b")).collect():
+        assert len(r["a"]) > 10 and len(set(map(bytes, r["a"])) & set(map(bytes, r["b"]))) > 0.8 * len(r["a"]), r["kind"]
+
+
+def test_texts_in_one_encoding_are_not_those_of_another(spark):
+    wide = "\u6162" * 30
+    check(spark, [(1, "ab" * 30), (2, wide), (3, wide), (4, "一" * 30_000), (5, "一" * 30_000), (6, "一" * 29_999)])

@@ -16,16 +16,26 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, materialise
 
 #: A chunk has this many characters, but for the last of a text.
-MIN_CHUNK, MAX_CHUNK = 256, 4096
-#: A cut may fall behind this pattern, met about every 200 characters of prose;
-#: any text is cut at MAX_CHUNK characters at the latest.
-CUT_AFTER = r"\s[a-d][a-m][e-t]"
+MIN_CHUNK, MAX_CHUNK = 384, 4096
+#: A cut may fall behind this pattern, met about every 50 characters of any text
+#: in Latin letters or digits, with blanks or without.
+CUT_AFTER = "[a-d0-2][a-m0-4][e-t3-9][b-l1-6]"
+#: The same for all other scripts, where characters are four hexadecimal digits:
+#: it goes by the last digit of each, so no alphabet is without cuts.
+WIDE_CUT_AFTER = "...[0-3]...[0-7]...[4-9]...[8-D]"
 
 
-def chunks_of(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK, cut_after: str = CUT_AFTER) -> Column:
-    """The text as an array of content-defined chunks; an empty text has none."""
-    pattern = f"(?s).{{{low},{high - 1}}}?(?<={cut_after})|.{{1,{high}}}"
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _wide(text: Column) -> Column:
+    """Whether most of a text's characters are of other scripts than Latin."""
+    return F.octet_length(text) > 1.5 * F.char_length(text)
+
+
+def chunks_of(text: Column, low: int = MIN_CHUNK, high: int = MAX_CHUNK) -> Column:
+    """The text as an array of content-defined chunks, in UTF-8, or in UTF-16 where it is wide; an empty text has none."""
+    plain = F.regexp_extract_all(text, F.lit(f"(?s).{{{low},{high - 1}}}?(?<={CUT_AFTER})|.{{1,{high}}}"), F.lit(0))
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    wide = F.regexp_extract_all(digits, F.lit(f"(?:....){{{low},{high - 1}}}?(?<={WIDE_CUT_AFTER})|.{{1,{4 * high}}}"), F.lit(0))
+    return F.when(_wide(text), F.transform(wide, F.unhex)).otherwise(F.transform(plain, lambda c: c.cast("binary")))
 
 
 def recipes(df: DataFrame, id_col: str, text_col: str, hasher=F.xxhash64) -> DataFrame:
@@ -36,7 +46,9 @@ def recipes(df: DataFrame, id_col: str, text_col: str, hasher=F.xxhash64) -> Dat
     ``hasher`` is a parameter so that tests can force this.
     """
     base = df.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    own = base.select("id", F.transform(chunks_of(F.col("norm")), lambda c: hasher(c)).alias("recipe"), "norm", F.sha2("norm", 256).alias("text_sha256"))
+    # The first entry tells how the text was cut, so chunks of one kind are never taken for the other.
+    first = F.array(_wide(F.col("norm")).cast("long"))
+    own = base.select("id", F.concat(first, F.transform(chunks_of(F.col("norm")), lambda c: hasher(c))).alias("recipe"), "norm", F.sha2("norm", 256).alias("text_sha256"))
     # The proof: group by hash and text, then count texts per hash. The first
     # step removes copies before anything is shuffled; the second moves hashes only.
     pieces = base.select(F.explode(chunks_of(F.col("norm"))).alias("chunk")).select(hasher(F.col("chunk")).alias("h"), "chunk")
@@ -61,8 +73,10 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
     own = materialise(recipes(df, id_col, text_col, hasher), "recipes")
     groups = own.groupBy("recipe", "whole").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     # A group of one is its own answer, so only larger groups are joined back.
-    # They have one row each, so a hot recipe is split on the other side (AQE skew join).
-    out = own.join(groups.filter("group_size > 1"), ["recipe", "whole"], "left")
+    # They have one row each and are written, so both sides of the join are shuffled rows
+    # and a hot recipe is split on the other side (AQE skew join).
+    groups = materialise(groups.filter("group_size > 1"), "recipe-groups")
+    out = own.join(groups.hint("merge"), ["recipe", "whole"], "left")
     alone = F.col("group_size").isNull()
     return out.select(
         F.col("id").alias(id_col),
