@@ -11,13 +11,13 @@ PAGES = [(1, "http://a.example/", BODY), (2, "http://b.example/a b\r\nX: y", BOD
 def captures(spark, rows):
     df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, sha string")
     path = shared_path(spark, "warc")
-    warc.write_archives(df, path)
+    warc.write_archives(df, path, file_captures=4)
     return path, warc.resolve_revisits(warc.assemble(warc.read_records(spark, path)))
 
 
 def test_pages_come_back(spark):
     _, out = captures(spark, PAGES)
-    got = sorted(((r["main"]["page_key"], r["payload_bytes"], r["payload_digest"], r["main"]["record_type"], r["refers_key"]) for r in out.collect()), key=str)
+    got = sorted(((r["page_key"], r["payload_bytes"], r["payload_digest"], r["main"]["record_type"], r["refers_key"]) for r in out.collect()), key=str)
     want = []
     for i, _, html in PAGES:
         data = (html or "").encode()
@@ -44,10 +44,45 @@ def test_parse_takes_pieces_of_any_size_and_gzip_members():
     assert len(list(warc.parse(warc.inflate(packed)))) == 2
 
 
-def test_assembly_follows_chains_and_keeps_orphans(spark):
-    rows = [("r1", "response", None), ("q1", "request", "r1"), ("m1", "metadata", "q1"), ("q2", "request", "gone"), ("m3", "metadata", None), ("m4", "metadata", "r1"), ("m4", "metadata", "r1")]
+def assembled(spark, rows):
     df = spark.createDataFrame([(a, b, None, c, None, None, None, None, None, None) for a, b, c in rows], warc.RECORD_SCHEMA)
-    out = {r["capture_id"]: r for r in warc.assemble(df).collect()}
-    assert set(out) == {"r1", "gone", "m3"}
-    assert [x["record_id"] for x in out["r1"]["requests"]] == ["q1"] and [x["record_id"] for x in out["r1"]["metadata"]] == ["m1", "m4"]
+    return {r["capture_id"]: r for r in warc.assemble(df).collect()}
+
+
+def test_assembly_keeps_orphans(spark):
+    out = assembled(spark, [("r1", "response", []), ("q1", "request", ["r1"]), ("m4", "metadata", ["r1"]), ("m4", "metadata", ["r1"]), ("q2", "request", ["gone"]), ("m3", "metadata", []), ("x", None, None)])
+    assert set(out) == {"r1", "gone", "m3", "x"}
+    assert [x["record_id"] for x in out["r1"]["requests"]] == ["q1"] and [x["record_id"] for x in out["r1"]["metadata"]] == ["m4"]
     assert out["gone"]["main"] is None and len(out["m3"]["metadata"]) == 1
+
+
+def test_assembly_follows_links_of_either_direction(spark):
+    rows = [("r1", "response", ["q1"]), ("q1", "request", []), ("m1", "metadata", ["q1"]), ("m2", "metadata", ["other", "m1"]), ("r2", "revisit", []), ("q2", "request", ["r2"]), ("m3", "metadata", ["q2"]), ("q4", "request", ["gone"]), ("m4", "metadata", ["q4"])]
+    out = assembled(spark, rows)
+    assert set(out) == {"r1", "r2", "gone"}
+    ids = lambda k, part: [x["record_id"] for x in out[k][part]]
+    assert (ids("r1", "requests"), ids("r1", "metadata")) == (["q1"], ["m1", "m2"])
+    assert (ids("r2", "requests"), ids("r2", "metadata")) == (["q2"], ["m3"])
+    assert (ids("gone", "requests"), ids("gone", "metadata"), out["gone"]["main"]) == (["q4"], ["m4"], None)
+
+
+def test_records_without_ids_stay_apart():
+    record = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    fields = [f for f, _ in warc.parse(iter([record * 2]))]
+    assert [f["warc-concurrent-to"] for f in fields] == ["<a> <b>"] * 2
+
+
+def test_the_query(spark, tmp_path):
+    import duckdb
+
+    from timberline.llm import queries
+
+    df = spark.createDataFrame([r for r in PAGES if r[0] != 9], "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op1_warc(spark, str(tmp_path))
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.sql(queries.OP1_SQL)
+        assert sorted(want.columns) == sorted(got.columns)
+        rows = db.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.OP1_SQL}) WHERE page_id IS NOT NULL").fetchall()
+    assert sorted(map(tuple, got.filter("page_id IS NOT NULL").collect()), key=str) == sorted(rows, key=str)

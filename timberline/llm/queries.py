@@ -13,23 +13,29 @@ PROBE_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assista
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive all pages, read the archives back, assemble and resolve the captures."""
+    """Archive all pages, read the archives back, assemble the captures, and answer from their nested records.
+
+    The page's id comes from a capture's metadata record, its address from the request.
+    """
     path = shared_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.resolve_revisits(warc.assemble(warc.read_records(spark, path, content=False)))
+    records = materialise(warc.read_records(spark, path, content=False).drop("content"), "records")
+    captures = warc.resolve_revisits(materialise(warc.assemble(records), "captures"))
     return captures.select(
-        F.col("main.page_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("page_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
         F.col("main.record_type").alias("record_type"), F.col("refers_key").cast("long").alias("refers_to"),
+        F.get("requests", F.lit(0))["target_uri"].alias("url"), (1 + F.size("requests") + F.size("metadata")).cast("long").alias("n_records"),
     )
 
 
-OP1_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-h AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, url, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM h)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+  regexp_replace(coalesce(url, 'about:blank'), '[\x00-\x20\x7F]', '%20', 'g') AS url, CAST(3 AS BIGINT) AS n_records
 FROM f
 """
 

@@ -17,15 +17,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_arrow
+from .common import map_arrow, materialise
+from .minhash import connected_components
 
 END = "\r\n"
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads below this many bytes are never revisits.
 MIN_REVISIT_BYTES = 100
+#: Captures to an archive.
+FILE_CAPTURES = 4096
 MAIN_TYPES = ("response", "revisit", "resource", "conversion")
-RECORD_SCHEMA = "record_id string, record_type string, target_uri string, concurrent_to string, refers_to string, page_key string, payload_bytes long, payload_digest string, declared_digest string, content binary"
+RECORD_SCHEMA = "record_id string, record_type string, target_uri string, concurrent_to array<string>, refers_to string, page_key string, payload_bytes long, payload_digest string, declared_digest string, content binary"
 
 
 def _record(kind: str, rid: Column, uri: Column, fields: list[tuple[str, Column]], content_type: str, block: Column) -> Column:
@@ -36,43 +39,49 @@ def _record(kind: str, rid: Column, uri: Column, fields: list[tuple[str, Column]
     return F.concat(*lines)
 
 
-def write_archives(df: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html") -> None:
-    """Write three records per row of ``df`` below ``path`` as gzip-compressed WARC files.
+def write_archives(df: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", file_captures: int = FILE_CAPTURES) -> None:
+    """Write three records per row of ``df`` below ``path`` as gzip-compressed WARC files of at most ``file_captures`` rows.
 
     Of rows with equal payloads of at least 100 bytes, the one with the
     smallest id becomes a response and the others revisit it; a null id is the
     largest. Null payloads are empty, null addresses become ``about:blank``,
     and control characters and blanks in addresses are percent-encoded. Rows
-    that repeat id and payload are captures of their own. An empty table gives
-    an archive without records.
+    that repeat id and payload are captures of their own. Payloads may be of
+    any length; extra columns are not read. An empty table gives an archive
+    without records.
     """
     base = df.select(F.col(id_col).cast("string").alias("key"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("k"), F.col(id_col).alias("id"), F.coalesce(F.col(uri_col), F.lit("about:blank")).alias("uri"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     base = base.withColumn("sha", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("uri", F.regexp_replace("uri", r"[\x00-\x20\x7F]", "%20"))
-    # Who is a response is settled on ids and digests alone; payloads stay out of that shuffle.
-    slim = base.filter(F.octet_length("payload") >= MIN_REVISIT_BYTES).select("k", "id", "sha")
-    first = slim.groupBy("sha").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("sha", "first_id")
-    revisits = slim.join(first, "sha").filter(~F.col("id").eqNullSafe(F.col("first_id"))).select("k", "sha", "first_id", F.lit(True).alias("again")).distinct()
-    # The rows are numbered within (id, payload), so that each capture has an id of its own.
-    rows = base.join(revisits, ["k", "sha"], "left").withColumn("nth", F.row_number().over(W.partitionBy("k", "sha").orderBy("uri")))
-    name = lambda key, nth: F.concat(F.lit("urn:sha256:"), F.sha2(F.concat_ws("/", key, "sha", nth.cast("string")), 256))
-    rows = rows.withColumn("rid", name(F.col("k"), F.col("nth"))).withColumn("first_rid", name(F.col("first_id").cast("string"), F.lit(1)))
+    # Who is a response, and what is there several times, is settled on ids, addresses and digests alone.
+    slim = materialise(base.select("k", "id", "uri", "sha", F.octet_length("payload").alias("size")), "page-digests")
+    large = slim.filter(F.col("size") >= MIN_REVISIT_BYTES)
+    first = large.groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "k", "uri")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
+    revisits = materialise(large.join(first.hint("merge"), "sha").filter(~F.col("id").eqNullSafe(F.col("first.id"))).select("k", "sha", "first", F.lit(True).alias("again")).distinct(), "page-revisits")
+    rows = base.join(revisits.hint("merge"), ["k", "sha"], "left").withColumn("nth", F.lit(1))
+    # Only rows that repeat in all of id, address and payload need numbers to have names of their own.
+    same = materialise(slim.groupBy("k", "uri", "sha").agg(F.count("*").alias("n")).filter("n > 1").select("k", "uri", "sha"), "page-repeats")
+    if not same.isEmpty():
+        again = rows.join(same.hint("merge"), ["k", "uri", "sha"], "left_semi")
+        again = again.withColumn("nth", F.row_number().over(W.partitionBy("k", "uri", "sha").orderBy("sha")))
+        rows = rows.join(same.hint("merge"), ["k", "uri", "sha"], "left_anti").unionByName(again)
+    name = lambda key, address, nth: F.concat(F.lit("urn:sha256:"), F.sha2(F.concat_ws("/", key, "sha", nth.cast("string"), address), 256))
+    rows = rows.withColumn("rid", name(F.col("k"), F.col("uri"), F.col("nth"))).withColumn("first_rid", name(F.col("first.k"), F.col("first.uri"), F.lit(1)))
     rid, uri = F.col("rid"), F.col("uri")
     angle = lambda c: F.concat(F.lit("<"), c, F.lit(">"))
     digest = F.concat(F.lit("sha256:"), F.col("sha"))
-    page = ("WARC-Page-Key", F.col("key"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(END + END))
-    response = _record("response", rid, uri, [("WARC-Payload-Digest", digest), page], "application/http; msgtype=response", F.concat(head, F.col("payload")))
-    revisit = _record("revisit", rid, uri, [("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", angle(F.col("first_rid"))), page], "application/http; msgtype=response", head)
+    response = _record("response", rid, uri, [("WARC-Payload-Digest", digest)], "application/http; msgtype=response", F.concat(head, F.col("payload")))
+    revisit = _record("revisit", rid, uri, [("WARC-Payload-Digest", digest), ("WARC-Profile", F.lit(REVISIT_PROFILE)), ("WARC-Refers-To", angle(F.col("first_rid")))], "application/http; msgtype=response", head)
     request = _record("request", F.concat(rid, F.lit(":request")), uri, [("WARC-Concurrent-To", angle(rid))], "application/http; msgtype=request", F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}{END}")))
-    metadata = _record("metadata", F.concat(rid, F.lit(":metadata")), uri, [("WARC-Concurrent-To", angle(rid))], "application/warc-fields", F.concat(F.lit("page-key: "), F.coalesce(F.col("key"), F.lit("")), F.lit(END)))
+    metadata = _record("metadata", F.concat(rid, F.lit(":metadata")), uri, [("WARC-Concurrent-To", angle(rid))], "application/warc-fields", F.coalesce(F.concat(F.lit("page-key: "), F.col("key"), F.lit(END)), F.lit("")))
     main = F.when(F.col("again"), revisit).otherwise(response)
     # One row holds a capture's three records; the writer adds the last one's end.
     out = rows.select(F.concat(request, F.lit(END * 2), main, F.lit(END * 2), metadata).alias("value"))
-    out.write.option("lineSep", END * 2).option("compression", "gzip").text(path)
+    out.write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", file_captures).text(path)
 
 
 def parse(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of one archive, from its decompressed bytes in pieces of any size."""
+    """Records of one archive, from its decompressed bytes in pieces of any size. A field that repeats has its values joined by blanks."""
     held = bytearray()
     data = iter(data)
     ended = False
@@ -103,7 +112,8 @@ def parse(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         fields: dict[str, str] = {}
         for line in lines[1:]:
             key, _, value = line.partition(":")
-            fields[key.strip().lower()] = value.strip()
+            key, value = key.strip().lower(), value.strip()
+            fields[key] = f"{fields[key]} {value}" if key in fields else value
         n = int(fields.get("content-length", "0"))
         if not fill(at + 4 + n):
             raise ValueError("a WARC record is cut short")
@@ -135,24 +145,28 @@ def read_records(spark: SparkSession, path: str, content: bool = True) -> DataFr
     """All records of the archives below ``path``, see ``RECORD_SCHEMA``.
 
     ``payload_*`` describe what follows the HTTP head of a response, as read
-    (null for other types); ``declared_digest`` is the header's. With
-    ``content=False`` blocks are dropped where they are parsed.
+    (null for other types); ``declared_digest`` is the header's, ``page_key``
+    what a metadata record says of it. A record without an id gets one from its
+    place. With ``content=False`` blocks are dropped where they are parsed.
     """
 
     def run(batches):
         for batch in batches:
-            for blob in batch.column(0):
+            for file, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows: list[tuple] = []
                 size = 0
-                for f, block in parse(inflate(blob.as_buffer().to_pybytes())):
+                for nth, (f, block) in enumerate(parse(inflate(blob.as_buffer().to_pybytes()))):
                     ref = lambda k, f=f: f[k].strip("<>") if k in f else None
                     kind = f.get("warc-type")
-                    n = digest = None
+                    n = digest = key = None
                     if kind == "response":
                         head, _, payload = block.partition(b"\r\n\r\n")
                         n, digest = len(payload), hashlib.sha256(payload).hexdigest()
+                    elif kind == "metadata":
+                        key = next((x[9:].strip() for x in block.decode("utf-8", "replace").split("\r\n") if x.lower().startswith("page-key:")), None)
                     declared = f.get("warc-payload-digest", "").removeprefix("sha256:").lower() or None
-                    rows.append((ref("warc-record-id"), kind, f.get("warc-target-uri"), ref("warc-concurrent-to"), ref("warc-refers-to"), f.get("warc-page-key"), n, digest, declared, block if content else None))
+                    rid = ref("warc-record-id") or f"urn:place:{file}:{nth}"
+                    rows.append((rid, kind, f.get("warc-target-uri"), [x.strip("<>") for x in f.get("warc-concurrent-to", "").split()], ref("warc-refers-to"), key, n, digest, declared, block if content else None))
                     size += len(block) if content else 200
                     if size > 1 << 23:
                         yield _batch(rows)
@@ -161,52 +175,63 @@ def read_records(spark: SparkSession, path: str, content: bool = True) -> DataFr
                     yield _batch(rows)
 
     def _batch(rows):
-        kinds = [pa.string()] * 6 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
+        kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 2 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return map_arrow(files.select("content"), run, RECORD_SCHEMA)
+    return map_arrow(files.select("path", "content"), run, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``(capture_id, main, requests, metadata)``.
 
-    A main record (response, revisit, resource, conversion) is its own capture.
-    Another record belongs to the capture that its concurrent-to names, or, if
-    that is no main record, to the one which that record names in turn.
-    Records whose target is missing form a capture without a main record under
-    the name they point at (their own, if they point nowhere). Of records that
+    Records belong together that name each other by concurrent-to, whichever
+    names which, directly or through others. A capture is called after its main
+    record (response, revisit, resource, conversion); where several main
+    records belong together, ``main`` is that of the least id and the others
+    stand among ``metadata``. Records whose target is missing form a capture
+    without a main record under the name they point at (their own, if they point
+    nowhere; the least name, where several belong together). Of records that
     repeat an id, one stays. ``requests`` and ``metadata`` are arrays ordered by
-    record id.
+    record id. ``records`` is read several times: give a written table.
     """
     columns = [c for c in records.columns if c != "concurrent_to"]
-    whole = F.struct(*[F.col(c) for c in columns])
-    main = F.col("record_type").isin(*MAIN_TYPES)
-    # Links that lead to another link rather than to a main record: none in most archives.
-    links = records.filter(~F.coalesce(main, F.lit(False)) & F.col("concurrent_to").isNotNull()).select(F.col("record_id").alias("via"), F.col("concurrent_to").alias("onward"))
-    side = records.filter(~F.coalesce(main, F.lit(False))).join(links.dropDuplicates(["via"]), F.col("concurrent_to") == F.col("via"), "left")
-    side = side.withColumn("capture_id", F.coalesce("onward", "concurrent_to", "record_id")).drop("via", "onward")
-    both = records.filter(F.coalesce(main, F.lit(False))).withColumn("capture_id", F.col("record_id")).unionByName(side)
+    whole = F.struct("record_id", *[c for c in columns if c != "record_id"])
+    main = F.coalesce(F.col("record_type").isin(*MAIN_TYPES), F.lit(False))
+    named = records.withColumn("capture_id", F.when(main, F.col("record_id")).otherwise(F.coalesce(F.get("concurrent_to", F.lit(0)), F.col("record_id"))))
+    # Most archives have request and metadata name the main record, and no other links.
+    side = records.filter(~main)
+    more = records.filter((F.size("concurrent_to") > 1) | (main & (F.size("concurrent_to") > 0))).isEmpty()
+    if not more or not side.select(F.get("concurrent_to", F.lit(0)).alias("record_id")).join(side.select("record_id").hint("merge"), "record_id", "left_semi").isEmpty():
+        links = records.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
+        roots = connected_components(links, "warc-links")
+        named = records.join(roots.withColumnsRenamed({"node": "record_id"}).hint("merge"), "record_id", "left").withColumn("root", F.coalesce("root", "record_id"))
+        heads = named.filter(main).groupBy("root").agg(F.min("record_id").alias("head"))
+        named = named.join(heads.hint("merge"), "root", "left").withColumn("capture_id", F.coalesce("head", "root")).drop("root", "head")
+    head = main & (F.col("record_id") == F.col("capture_id"))
     pick = lambda test: F.array_distinct(F.array_sort(F.collect_list(F.when(test, whole))))
-    return both.groupBy("capture_id").agg(
-        F.min_by(F.when(main, whole), F.when(main, F.col("record_id"))).alias("main"),
-        pick(F.col("record_type") == "request").alias("requests"),
-        pick(~F.col("record_type").isin(*MAIN_TYPES, "request")).alias("metadata"),
+    request = F.coalesce(F.col("record_type") == "request", F.lit(False))
+    return named.groupBy("capture_id").agg(
+        F.min_by(F.when(head, whole), F.when(head, F.struct(*[c for c in columns if c != "content"]))).alias("main"),
+        pick(request).alias("requests"),
+        pick(~head & ~request).alias("metadata"),
     )
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
-    """Captures with ``payload_bytes``, ``payload_digest`` and ``refers_key`` of the full payload.
+    """Captures with ``page_key``, ``payload_bytes``, ``payload_digest`` and ``refers_key`` of the full payload.
 
-    A revisit takes them from the record it refers to; if that is missing, the
-    declared digest stands and the length is null.
+    ``page_key`` is what the capture's metadata says. A revisit takes payload
+    and key from the capture it refers to; if that is missing, the declared
+    digest stands and the length is null. ``captures`` is read twice.
     """
-    own = captures.filter("main is not null").select("capture_id", "requests", "metadata", "main")
-    target = own.filter("main.record_type = 'response'").select(F.col("main.record_id").alias("t_id"), F.col("main.payload_bytes").alias("t_bytes"), F.col("main.payload_digest").alias("t_digest"), F.col("main.page_key").alias("t_key"))
-    joined = own.join(target, F.col("main.refers_to") == F.col("t_id"), "left")
+    key = F.get(F.filter("metadata", lambda m: m["page_key"].isNotNull()), F.lit(0))["page_key"]
+    own = captures.filter("main is not null").select("capture_id", "requests", "metadata", "main", key.alias("page_key"))
+    target = own.filter("main.record_type = 'response'").select(F.col("main.record_id").alias("t_id"), F.col("main.payload_bytes").alias("t_bytes"), F.col("main.payload_digest").alias("t_digest"), F.col("page_key").alias("t_key"))
+    joined = own.join(target.hint("merge"), F.col("main.refers_to") == F.col("t_id"), "left")
     return joined.select(
-        "capture_id", "main", "requests", "metadata",
+        "capture_id", "main", "requests", "metadata", "page_key",
         F.coalesce("main.payload_bytes", "t_bytes").alias("payload_bytes"),
         F.coalesce("main.payload_digest", "t_digest", "main.declared_digest").alias("payload_digest"),
         F.col("t_key").alias("refers_key"),
