@@ -15,6 +15,7 @@ from timberline.plans.model import Forest, Node, Tree
 from timberline.plans.tree import train_tree
 from timberline.sources import models
 from timberline.spec import CATEGORICAL, CONTINUOUS, FeatureSpec, ForestParams, TreeParams
+from timberline.tree_sql import ENTROPY, Training, significant
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -206,7 +207,6 @@ def hist_all(spark, sf):
 def _split_sql(weight: str, error: str) -> str:
     """The split search in SQL. ``error`` is a formula over {w}, {s}, {ss}."""
     e = lambda p: "(" + error.replace("{w}", f"{p}w").replace("{ss}", f"{p}q").replace("{s}", f"{p}s") + ")"
-    sig = lambda x: f"(CASE WHEN abs({x}) < 1e-300 THEN 0 ELSE floor(({x}) * pow(10, 8 - floor(log10(abs({x}) + 1e-320))) + 0.5) / pow(10, 8 - floor(log10(abs({x}) + 1e-320))) END)"
     forward = "OVER (PARTITION BY feature_id ORDER BY key, bin ROWS UNBOUNDED PRECEDING)"
     backward = "OVER (PARTITION BY feature_id ORDER BY key DESC, bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return _hist_sql(weight) + f""",
@@ -215,7 +215,7 @@ c2 AS (SELECT *, sum(w) {forward} AS lw, sum(s) {forward} AS ls, sum(ss) {forwar
   sum(w) OVER (PARTITION BY feature_id) AS tw, sum(s) OVER (PARTITION BY feature_id) AS ts, sum(ss) OVER (PARTITION BY feature_id) AS tq,
   row_number() OVER (PARTITION BY feature_id ORDER BY key, bin) - 1 AS pos, count(*) OVER (PARTITION BY feature_id) AS bins FROM k),
 e AS (SELECT *, {e('t')} AS node_error, CASE WHEN pos < bins - 1 THEN {e('l')} + {e('r')} END AS split_error FROM c2),
-b AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY {sig('coalesce(split_error, node_error)')}, split_error IS NULL, pos) AS rk FROM e),
+b AS (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY {significant('coalesce(split_error, node_error)')}, split_error IS NULL, pos) AS rk FROM e),
 best AS (SELECT feature_id, pos::INT AS pos, bin, node_error, coalesce(split_error, node_error) AS split_error, node_error - coalesce(split_error, node_error) AS gain FROM b WHERE rk = 1)
 SELECT feature_id, pos, bin, {r('node_error')} AS node_error, {r('split_error')} AS split_error, {r('gain')} AS gain FROM best
 """
@@ -259,31 +259,39 @@ def _encoded(spark, sf):
 
 def _shown(nodes: DataFrame) -> DataFrame:
     rounded = {c: places(F.col(c), 6) for c in ("response", "error", "split_error", "gain")}
-    return nodes.withColumns(rounded)
+    return nodes.withColumns(rounded | {c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("left_ids", "right_ids", "left_values", "right_values")})
 
 
-@query()
+_BASE_SQL = "base AS (SELECT CASE WHEN (l_quantity >= 25 AND l_returnflag = 'R') OR l_linenumber = 7 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, {} AS w, l_quantity AS x0, l_linenumber AS x1, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS b2, CASE l_linestatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 0 END AS b3 FROM lineitem)"
+
+
+def _training_sql(weight: str = "1.0::DOUBLE", **options) -> str:
+    how = Training(("quantity", "linenumber", "returnflag$", "linestatus$"), (None, None, ("A", "N", "R"), ("F", "O")), **options)
+    return how.sql(_BASE_SQL.format(weight), lambda c: r(c, 6))
+
+
+@query(_training_sql(depth=4, min_gain_fraction=0.001))
 def tree_nodes(spark, sf):
     return _shown(train_tree(_encoded(spark, sf), _FEATURES, TreeParams(max_depth=4, min_gain_fraction=0.001), dictionaries=_FLAGS).table(spark))
 
 
-@query()
+@query(_training_sql(_WEIGHT_SQL, error=ENTROPY, depth=3, min_gain_fraction=0.001))
 def tree_nodes_entropy_weighted(spark, sf):
     return _shown(train_tree(_encoded(spark, sf), _FEATURES, TreeParams(loss="entropy", max_depth=3, min_gain_fraction=0.001), weight="weight", dictionaries=_FLAGS).table(spark))
 
 
-@query()
+@query(_training_sql(depth=2, min_gain_fraction=0.01, local=True))
 def tree_nodes_simple(spark, sf):
     return _shown(train_tree(_encoded(spark, sf), _FEATURES, TreeParams(max_depth=2, use_global_quantiles=False, batch_size=1), dictionaries=_FLAGS).table(spark))
 
 
-@query()
+@query(_training_sql(depth=3, min_gain_fraction=0.001, trees=3, shrinkage=0.8))
 def forest_nodes(spark, sf):
     params = ForestParams(TreeParams(max_depth=3, min_gain_fraction=0.001), num_trees=3, persist_interval=2)
     return _shown(train_forest(_encoded(spark, sf), _FEATURES, params, dictionaries=_FLAGS).table(spark))
 
 
-@query()
+@query(_training_sql(depth=2, min_gain_fraction=0.001, trees=4, shrinkage=0.8))
 def forest_warm_start(spark, sf):
     params = ForestParams(TreeParams(max_depth=2, min_gain_fraction=0.001), num_trees=2)
     first = train_forest(_encoded(spark, sf), _FEATURES, params, dictionaries=_FLAGS)
