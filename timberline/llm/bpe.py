@@ -222,6 +222,8 @@ class LibraryBPE(ByteBPE):
     """
 
     LONG = 1 << 16
+    #: The library is fast enough for a smaller memo, which keeps workers small.
+    MEMO = 150_000
 
     def __init__(self, vocab_path: str, pattern: str):
         import tiktoken

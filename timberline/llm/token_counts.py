@@ -25,7 +25,7 @@ SEPARATOR = 50256
 #: Tokens per block of the scan.
 BLOCK = 1 << 20
 #: Documents to a file.
-FILE_ROWS = 20_000
+FILE_ROWS = 5_000
 #: Bytes of text encoded before rows are handed on.
 PART_BYTES = 4 << 20
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
