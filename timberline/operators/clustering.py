@@ -95,11 +95,16 @@ def _init_parallel(df: DataFrame, k: int, runs: int, steps: int, seed: int, feat
     return {r: local_kmeans(np.array(c), np.array([float(weights.get((r, i), 0)) for i in range(len(c))]), k, seed + r) for r, c in centers.items()}
 
 
-def kmeans(df: DataFrame, k: int, iterations: int = 20, runs: int = 1, mode: str = "k-means||", steps: int = 5, epsilon: float = 1e-4, seed: int = 42, features: str = "features") -> KMeansModel:
-    """The cheapest of several runs. A run ends when no center moves by more than ``epsilon``."""
+def kmeans(df: DataFrame, k: int, iterations: int = 20, runs: int = 1, mode: str = "k-means||", steps: int = 5, epsilon: float = 1e-4, seed: int = 42, features: str = "features", initial=None) -> KMeansModel:
+    """The cheapest of several runs. A run ends when no center moves by more than ``epsilon``.
+
+    With ``initial``, a list of k centers, there is one run, which begins with them.
+    """
     data = df.persist()
     try:
-        if mode == "random":
+        if initial is not None:
+            centers = {0: np.array(initial, dtype=float)}
+        elif mode == "random":
             drawn = _draw(data, runs * k, seed, features)
             centers = {r: drawn[r * k : (r + 1) * k].copy() for r in range(runs)}
         elif mode == "k-means||":

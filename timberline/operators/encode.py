@@ -24,10 +24,26 @@ def value_counts(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(F.inline(pairs)).groupBy("feature", "value").agg(F.count("*").alias("cnt"))
 
 
+#: Ranges that the values of a dictionary are dealt into for numbering.
+VALUE_RANGES = 64
+
+
 def build_dictionaries(df: DataFrame, features: list[str]) -> DataFrame:
-    """``(feature, value, id, cnt)``: ids count from 0, frequent values first, ties by value."""
-    order = W.partitionBy("feature").orderBy(F.col("cnt").desc(), "value")
-    return value_counts(df, features).select("feature", "value", (F.row_number().over(order) - 1).alias("id"), "cnt")
+    """``(feature, value, id, cnt)``: ids count from 0, frequent values first, ties by value.
+
+    Values of one count are dealt into ranges and numbered within these, each
+    from what comes before it, so no task holds a whole feature. Where ranges
+    end follows from a few values drawn by hash and only affects balance.
+    """
+    counts = value_counts(df, features)
+    ends = sorted({row["value"] for row in counts.select("value").orderBy(F.xxhash64("value")).limit(VALUE_RANGES - 1).collect()})
+    part = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= F.col("value"))) if ends else F.lit(0)
+    dealt = counts.withColumn("part", part)
+    before = W.partitionBy("feature").orderBy(F.col("cnt").desc(), "part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = dealt.groupBy("feature", "cnt", "part").agg(F.count("*").alias("size"))
+    bases = sizes.select("feature", "cnt", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    within = W.partitionBy("feature", "cnt", "part").orderBy("value")
+    return dealt.join(bases, ["feature", "cnt", "part"]).select("feature", "value", (F.col("base") + F.row_number().over(within) - 1).cast("int").alias("id"), "cnt")
 
 
 def collect_dictionaries(dictionaries: DataFrame) -> dict[str, dict[str, int]]:
@@ -44,18 +60,26 @@ def continuous(col: Column) -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(MISSING)).otherwise(text.cast("double"))
 
 
-def encode(df: DataFrame, features: list[FeatureSpec], dictionaries: dict[str, dict[str, int]]) -> DataFrame:
-    """All features as doubles; an unknown category has id 0, an ignored column is -1. Other columns stay."""
+def encode(df: DataFrame, features: list[FeatureSpec], dictionaries: dict[str, dict[str, int]] | DataFrame) -> DataFrame:
+    """All features as doubles; an unknown category has id 0, an ignored column is -1. Other columns stay.
+
+    Dictionaries are maps, or a table ``(feature, value, id)``, which is joined
+    and never comes to the driver.
+    """
     out, plain = df, {}
     for f in features:
         if f.kind == CATEGORICAL:
-            ids = dictionaries.get(f.name, {})
             value = F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit(""))
-            if len(ids) <= LITERAL_VALUES:
+            whole = isinstance(dictionaries, DataFrame)
+            ids = {} if whole else dictionaries.get(f.name, {})
+            if not whole and len(ids) <= LITERAL_VALUES:
                 found = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])[value] if ids else F.lit(None)
                 plain[f.name] = F.coalesce(found, F.lit(0)).cast("double")
             else:
-                table = df.sparkSession.createDataFrame(list(ids.items()), "_value string, _id int")
+                if whole:
+                    table = dictionaries.filter(F.col("feature") == f.name).select(F.col("value").alias("_value"), F.col("id").alias("_id"))
+                else:
+                    table = df.sparkSession.createDataFrame(list(ids.items()), "_value string, _id int")
                 out = out.withColumn("_value", value).join(table, "_value", "left").withColumn(f.name, F.coalesce("_id", F.lit(0)).cast("double")).drop("_value", "_id")
         else:
             plain[f.name] = continuous(F.col(f"`{f.name}`")) if f.kind == CONTINUOUS else F.lit(-1.0)

@@ -59,11 +59,11 @@ class FactorModel:
         return row[0] if row else None
 
 
-def als(ratings: DataFrame, rank: int, iterations: int = 10, reg: float = 0.01, seed: int = 42, user: str = "user", item: str = "item", rating: str = "rating") -> FactorModel:
-    """Factors of users and items. Starting factors follow from the ids and the seed alone."""
+def als(ratings: DataFrame, rank: int, iterations: int = 10, reg: float = 0.01, seed: int = 42, user: str = "user", item: str = "item", rating: str = "rating", start: DataFrame | None = None) -> FactorModel:
+    """Factors of users and items. Starting factors of users are ``start (id, factors)``, or follow from the ids and the seed alone."""
     data = ratings.select(user, item, rating).na.drop().persist()
     parts = F.array(*[F.abs(F.pmod(F.xxhash64(F.col("id"), F.lit(seed + j)), F.lit(1 << 20)) / float(1 << 20)) + 1e-3 for j in range(rank)])
-    users = data.select(F.col(user).alias("id")).distinct().withColumn("factors", F.transform(parts, lambda x: x / (rank**0.5)))
+    users = data.select(F.col(user).alias("id")).distinct().withColumn("factors", F.transform(parts, lambda x: x / (rank**0.5))) if start is None else start
     items = None
     try:
         for i in range(iterations):

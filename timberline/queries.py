@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,10 +105,10 @@ def train_test_split(spark, sf):
     return train.withColumn("part", F.lit("train")).unionByName(prep.subtract(whole, train).withColumn("part", F.lit("test")))
 
 
-@query("SELECT l_suppkey, l_linenumber FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_quantity > 45 AND b.l_suppkey = a.l_suppkey AND b.l_linenumber = a.l_linenumber)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_quantity > 45 AND b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber)")
 def set_difference(spark, sf):
     rows = table(spark, sf, "lineitem")
-    pair = ["l_suppkey", "l_linenumber"]
+    pair = ["l_orderkey", "l_linenumber"]
     return prep.subtract(rows.select(*pair), rows.filter("l_quantity > 45").select(*pair))
 
 
@@ -141,6 +142,21 @@ def cardinality(spark, sf):
     return encode.cardinalities(_part_encoded(spark, sf), _PART)
 
 
+@query("WITH c AS (SELECT l_orderkey::VARCHAR AS value, count(*) AS cnt FROM lineitem GROUP BY 1), d AS (SELECT value, row_number() OVER (ORDER BY cnt DESC, value) - 1 AS id FROM c), e AS (SELECT CASE WHEN l_linenumber = 3 THEN 'strange' ELSE l_orderkey::VARCHAR END AS value, l_linenumber FROM lineitem) SELECT l_linenumber, count(*) AS n, sum(coalesce(id, 0))::DOUBLE AS ids, max(coalesce(id, 0))::DOUBLE AS most FROM e LEFT JOIN d USING (value) GROUP BY l_linenumber")
+def dict_encode_large(spark, sf):
+    """A dictionary of many values, joined as a table; values that it lacks have id 0."""
+    rows = table(spark, sf, "lineitem").select("l_linenumber", F.col("l_orderkey").cast("string").alias("key"))
+    known = encode.build_dictionaries(rows, ["key"])
+    asked = rows.withColumn("key", F.when(F.col("l_linenumber") == 3, "strange").otherwise(F.col("key")))
+    return encode.encode(asked, [FeatureSpec("key", CATEGORICAL)], known).groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum("key").alias("ids"), F.max("key").alias("most"))
+
+
+@query("SELECT DISTINCT value FROM (SELECT p_brand AS value FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT p_brand FROM part WHERE p_size > 10)")
+def dict_union(spark, sf):
+    part = table(spark, sf, "part")
+    return encode.union_values([part.select(F.col("p_brand").alias("value")), part.select(F.col("p_type").alias("value")), part.filter("p_size > 10").select(F.col("p_brand").alias("value"))])
+
+
 _Q_SQL = """
 WITH v AS (SELECT list(x ORDER BY x) AS vs, count(*) AS n FROM (SELECT o_totalprice::DOUBLE AS x FROM orders)),
 k AS (SELECT vs, n, least(20, n - 1) AS cuts FROM v),
@@ -349,22 +365,55 @@ def subset_gains(spark, sf):
     return model.subset_gains(_FOREST.table(spark)).withColumn("gain", places(F.col("gain")))
 
 
-@query()
+def _lines_sql(*lines: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(lines)) + ") t(pos, line)"
+
+
+@query(
+    _lines_sql(
+        "m = 0", "  i = 1, y = 0.25000, n = 0, x = quantity, t = 25.500", "    i = 2, y = 0.12500, n = 0", "    i = 3, y = 0.50000, n = 0, x = returnflag$, t = {R} : {A,N}", "      i = 6, y = 0.75000, n = 0",
+        "      i = 7, y = 0.25000, n = 0, x = linenumber, t = 3.5000", "        i = 14, y = 0.062500, n = 0", "        i = 15, y = 0.37500, n = 0", "m = 1", "  i = 1, y = 0.25000, n = 0, x = linenumber, t = 5.5000", "    i = 2, y = -0.062500, n = 0", "    i = 3, y = 0.25000, n = 0",
+    )
+)
 def explain(spark, sf):
     return spark.createDataFrame(list(enumerate(models.explain_forest(_FOREST))), "pos int, line string")
 
 
-@query()
+@query(
+    _lines_sql(
+        '// Use "dot -T pdf tree.dot -o tree.pdf" to compile.', "", "digraph regression_tree {",
+        '  1 [ shape=record, label="{ i = 1 | x = quantity, t =25.5 | y = 0.25 | n = 0, w = 0.0 | e = 10, e\' = 5.0 }" ];', '    2 [ shape=record, label="{ i = 2 | y = 0.12 | n = 0, w = 0.0 | e = 0.0 }" ];',
+        '    3 [ shape=record, label="{ i = 3 | x = returnflag$, t =1:2 | y = 0.50 | n = 0, w = 0.0 | e = 3.3, e\' = 1.7 }" ];', '      6 [ shape=record, label="{ i = 6 | y = 0.75 | n = 0, w = 0.0 | e = 0.0 }" ];',
+        '      7 [ shape=record, label="{ i = 7 | x = linenumber, t =3.5 | y = 0.25 | n = 0, w = 0.0 | e = 1.4, e\' = 0.71 }" ];', '        14 [ shape=record, label="{ i = 14 | y = 0.062 | n = 0, w = 0.0 | e = 0.0 }" ];',
+        '        15 [ shape=record, label="{ i = 15 | y = 0.38 | n = 0, w = 0.0 | e = 0.0 }" ];', "", "  1 -> 2; 1 -> 3;", "    3 -> 6; 3 -> 7;", "      7 -> 14; 7 -> 15;", "}",
+    )
+)
 def graphviz(spark, sf):
     return spark.createDataFrame(list(enumerate(models.dot_tree(_TREE_A))), "pos int, line string")
 
 
-@query()
+_DETAILS = {
+    1: ("i = 1", "d = 0", "y = 0.25", "x = quantity", "t = 25.5", "path ="),
+    2: ("i = 2", "d = 1", "y = 0.125", "x = <leaf>", "path =", "  i = 1, quantity < 25.5"),
+    3: ("i = 3", "d = 1", "y = 0.5", "x = returnflag$", "t = {R} : {A,N}", "path =", "  i = 1, quantity >= 25.5"),
+    6: ("i = 6", "d = 2", "y = 0.75", "x = <leaf>", "path =", "  i = 1, quantity >= 25.5", "  i = 3, returnflag$ <- {R}"),
+    7: ("i = 7", "d = 2", "y = 0.25", "x = linenumber", "t = 3.5", "path =", "  i = 1, quantity >= 25.5", "  i = 3, returnflag$ <- {A,N}"),
+    14: ("i = 14", "d = 3", "y = 0.0625", "x = <leaf>", "path =", "  i = 1, quantity >= 25.5", "  i = 3, returnflag$ <- {A,N}", "  i = 7, linenumber < 3.5"),
+    15: ("i = 15", "d = 3", "y = 0.375", "x = <leaf>", "path =", "  i = 1, quantity >= 25.5", "  i = 3, returnflag$ <- {A,N}", "  i = 7, linenumber >= 3.5"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT {i} AS node_id, * FROM ({_lines_sql(*lines)})" for i, lines in _DETAILS.items()))
 def node_details(spark, sf):
     rows = [(n.node_id, i, line) for n in _TREE_A.preorder() for i, line in enumerate(models.node_details(_TREE_A, n.node_id))]
     return spark.createDataFrame(rows, "node_id int, pos int, line string")
 
 
+@query(f"SELECT subset, {r('importance')} AS importance FROM (VALUES ('linenumber', 100.0::DOUBLE), ('quantity,returnflag$', 100 * (5 + 5.0/3) / (5 + 5.0/3)), ('quantity', 100 * 5 / (5 + 5.0/3)), ('returnflag$', 100 * (5.0/3) / (5 + 5.0/3)), ('linenumber,returnflag$', 100 * (5.0/7 + 5.0/3) / (5 + 5.0/3))) t(subset, importance)".replace("('linenumber', 100.0::DOUBLE)", "('linenumber', 100 * (5 + 5.0/7) / (5 + 5.0/3))"))
+def subset_importances(spark, sf):
+    return model.subset_importances(_FOREST.table(spark), 2).withColumn("importance", places(F.col("importance")))
+
+
 # Metrics: a score and a label that any engine computes alike
 
 _SCORES_SQL = "WITH p AS (SELECT ((event_id * 2654435761) % 1000) / 1000.0::DOUBLE AS score, CASE WHEN (event_id * 40503) % 7 < 3 THEN 1 ELSE 0 END AS label FROM events)"
@@ -398,6 +447,12 @@ def nll_rig(spark, sf):
     return row.select(*[places(F.col(c), 6).alias(c) for c in ("nll", "entropy", "rig", "tpr", "fpr", "precision", "f1", "accuracy")])
 
 
+@query(_SCORES_SQL + f" SELECT {r('sum((label - score) * (label - score))')} AS square, {r('sum(CASE WHEN CASE WHEN label = 1 THEN score ELSE 1 - score END > 1e-10 THEN -log2(CASE WHEN label = 1 THEN score ELSE 1 - score END) ELSE -log2(1e-10) END)')} AS entropy FROM p")
+def point_losses(spark, sf):
+    y, p = F.col("label").cast("double"), F.col("score")
+    return _scores(spark, sf).agg(*[places(F.sum(LOSSES[k].point(y, p))).alias(k) for k in ("square", "entropy")])
+
+
 _CURVE_SQL = _SCORES_SQL + ", g AS (SELECT score, sum(label) AS pos, sum(1 - label) AS neg FROM p GROUP BY score), c AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS allp, sum(neg) OVER () AS alln FROM g)"
 
 
@@ -446,10 +501,22 @@ def kmeans_cost(spark, sf):
     return clustering.assign(table(spark, sf, "embeddings"), _centers(spark, sf), "embedding").agg(places(F.sum("cost"), 4).alias("cost"))
 
 
-@query()
+def _lloyd_sql(steps: int) -> str:
+    """Lloyd's iterations from the first five vectors."""
+    parts = ["c0 AS MATERIALIZED (SELECT vec_id::INT AS cluster, list_transform(embedding, lambda x: x::DOUBLE) AS ce FROM embeddings WHERE vec_id < 5)"]
+    for k in range(steps):
+        cost = "list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::DOUBLE - ce[i]) * (embedding[i]::DOUBLE - ce[i])))"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cost, cluster) AS rk FROM (SELECT vec_id, embedding, cluster, {cost} AS cost FROM embeddings, c{k})) WHERE rk = 1)")
+        parts.append(f"m{k} AS MATERIALIZED (SELECT cluster, i, avg(embedding[i]::DOUBLE) AS m FROM a{k}, range(1, 65) r(i) GROUP BY cluster, i)")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(list(m ORDER BY i) FILTER (m IS NOT NULL), any_value(o.ce)) AS ce FROM c{k} o LEFT JOIN m{k} n ON n.cluster = o.cluster GROUP BY o.cluster)")
+    return "WITH " + ", ".join(parts) + f" SELECT cluster AS cluster_id, {r('ce[1]', 6)} AS first, {r('ce[64]', 6)} AS last, {r('list_sum(ce)', 6)} AS total FROM c{steps}"
+
+
+@query(_lloyd_sql(3))
 def kmeans_train(spark, sf):
-    found = clustering.kmeans(table(spark, sf, "embeddings"), 4, iterations=5, runs=2, features="embedding", steps=2)
-    return found.table(spark)
+    found = clustering.kmeans(table(spark, sf, "embeddings"), _K, iterations=3, features="embedding", initial=_centers(spark, sf))
+    total = F.aggregate("center", F.lit(0.0), lambda x, y: x + y)
+    return found.table(spark).select("cluster_id", places(F.get("center", F.lit(0)), 6).alias("first"), places(F.get("center", F.lit(63)), 6).alias("last"), places(total, 6).alias("total"))
 
 
 def _points(spark, sf):
@@ -481,7 +548,16 @@ def sgd_step_svm(spark, sf):
     return _sgd(spark, sf, "hinge")
 
 
-@query()
+def _descent_sql(multiplier: str, steps: int) -> str:
+    """Gradient steps from weights of 1; {m} is the margin, {y} the label."""
+    parts = ["f AS MATERIALIZED (SELECT CASE WHEN l_quantity >= 25 AND l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0 END AS y, l_quantity / 50.0::DOUBLE AS x1, l_linenumber / 7.0::DOUBLE AS x2 FROM lineitem)", "w0 AS MATERIALIZED (SELECT 1.0::DOUBLE AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS c)"]
+    for k in range(steps):
+        parts.append(f"g{k} AS MATERIALIZED (SELECT avg(k) AS a, avg(k * x1) AS b, avg(k * x2) AS c FROM (SELECT x1, x2, {multiplier.format(m='(a + b * x1 + c * x2)', y='y')} AS k FROM f, w{k}))")
+        parts.append(f"w{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"w.{v} - g.{v} / sqrt({k + 1}) AS {v}" for v in "abc") + f" FROM w{k} w, g{k} g)")
+    return "WITH " + ", ".join(parts) + f" SELECT {r('a', 6)} AS intercept, {r('b', 6)} AS w0, {r('c', 6)} AS w1 FROM w{steps}"
+
+
+@query(_descent_sql("1 / (1 + exp(-{m})) - {y}", 5))
 def logistic_train(spark, sf):
     rows = _points(spark, sf).select("label", F.slice("features", 2, 2).alias("features"))
     found = linear.logistic_regression(rows, iterations=5)
@@ -511,7 +587,33 @@ def als_predict(spark, sf):
     return factorization.FactorModel(users, items).predict(pairs)
 
 
-@query()
+def _als_sql(iterations: int, reg: float) -> str:
+    """Alternating least squares of rank 2 by Cramer's rule, from given factors of the users."""
+    parts = [
+        "t AS MATERIALIZED (SELECT o_custkey % 50 AS u, o_orderkey % 20 AS i, (floor(o_totalprice)::BIGINT % 5)::DOUBLE AS r FROM orders)",
+        "u0 AS MATERIALIZED (SELECT DISTINCT u AS id, (u % 3 + 1)::DOUBLE AS p, (u % 2 + 0.5)::DOUBLE AS q FROM t)",
+    ]
+    for k in range(iterations):
+        for new, by, old, other in ((f"i{k}", "i", f"u{k}", "u"), (f"u{k + 1}", "u", f"i{k}", "i")):
+            sums = f"SELECT t.{by} AS id, sum(p * p) + {reg} AS a, sum(p * q) AS b, sum(q * q) + {reg} AS c, sum(r * p) AS d, sum(r * q) AS e FROM t JOIN {old} o ON o.id = t.{other} GROUP BY t.{by}"
+            parts.append(f"{new} AS MATERIALIZED (SELECT id, (d * c - b * e) / (a * c - b * b) AS p, (a * e - b * d) / (a * c - b * b) AS q FROM ({sums}))")
+    return "WITH " + ", ".join(parts) + f" SELECT id, {r('p', 4)} AS p, {r('q', 4)} AS q FROM u{iterations}"
+
+
+@query(_als_sql(2, 0.1))
 def als_train(spark, sf):
-    found = factorization.als(_ratings(spark, sf), 2, iterations=2, reg=0.1)
-    return found.users.select("id", F.transform("factors", lambda x: places(x, 4)).alias("factors"))
+    data = _ratings(spark, sf)
+    u = F.col("id")
+    start = data.select(F.col("user").alias("id")).distinct().withColumn("factors", F.array((u % 3 + 1).cast("double"), (u % 2 + 0.5).cast("double")))
+    found = factorization.als(data, 2, iterations=2, reg=0.1, start=start)
+    return found.users.select("id", *[places(F.get("factors", F.lit(j)), 4).alias(name) for j, name in enumerate("pq")])
+
+
+@query("SELECT * FROM (VALUES ('simple', 0.3::DOUBLE, -0.5::DOUBLE, 0.1::DOUBLE, 0.0::DOUBLE), ('l1', 0.2, -0.4, 0.0, 0.3), ('squared_l2', 0.25, -0.41667, 0.08333, 0.12153)) t(kind, w0, w1, w2, penalty)")
+def updater_steps(spark, sf):
+    """One step of 0.2 with a penalty of 0.5, from weights and gradient of few digits."""
+    out = []
+    for kind in ("simple", "l1", "squared_l2"):
+        weights, penalty = linear.update(kind, np.array([0.5, -0.4, 0.2]), np.array([1.0, 0.5, 0.5]), 0.2, 0.5)
+        out.append((kind, *[round(float(x), 5) for x in (*weights, penalty)]))
+    return spark.createDataFrame(out, "kind string, w0 double, w1 double, w2 double, penalty double")
