@@ -60,7 +60,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(coalesce(role, '')) + length(longer) + 24) AS BIGINT) AS formatted_chars
+  CAST(sum(coalesce(length(role), 2) + length(longer) + 24) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
 
