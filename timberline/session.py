@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where ``spark.checkpoint.dir`` is unset, as in tests on one machine.
+#: Used only where ``spark.checkpoint.dir`` is unset and all runs on one machine, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 _shipped: set[str] = set()
@@ -38,7 +39,10 @@ def ship(spark: SparkSession) -> None:
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        alone = re.match(r"local(\[|$)", spark.conf.get("spark.master", "local"))
+        base = DEFAULT_SHARED_DIR if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_written)
