@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.functions.vectors import literal, squared_distance
+from timberline.functions.vectors import squared_distance
 
 
 def nearest(point: Column, centers) -> Column:
-    """``struct(cost, cluster)`` of the closest center; the first of equal ones."""
-    return F.array_min(F.array(*[F.struct(squared_distance(point, literal(c)).alias("cost"), F.lit(i).alias("cluster")) for i, c in enumerate(centers)]))
+    """``struct(cost, cluster)`` of the closest center; the first of equal ones.
+
+    All centers are one literal, so the plan is as short for many as for few.
+    """
+    text = json.dumps([[float(x) for x in c] for c in centers])
+    return F.array_min(F.transform(F.from_json(F.lit(text), "array<array<double>>"), lambda c, i: F.struct(squared_distance(point, c).alias("cost"), i.alias("cluster"))))
 
 
 def assign(df: DataFrame, centers, features: str = "features") -> DataFrame:
@@ -69,7 +74,8 @@ class KMeansModel:
 
 def _draw(df: DataFrame, n: int, seed: int, features: str) -> np.ndarray:
     """``n`` points at random, repeated if there are fewer: a sample of known size goes to the driver."""
-    rows = df.select(F.col(features).cast("array<double>").alias("p")).orderBy(F.rand(seed)).limit(n).collect()
+    # By a hash of the point, so the draw is the same however rows are dealt.
+    rows = df.select(F.col(features).cast("array<double>").alias("p")).orderBy(F.xxhash64("p", F.lit(seed)), "p").limit(n).collect()
     if not rows:
         raise ValueError("there are no points")
     points = np.array([r["p"] for r in rows])

@@ -16,7 +16,8 @@ from timberline.session import materialise, ship
 def normal_equations(ratings: DataFrame, factors: DataFrame, by: str, other: str, rank: int, rating: str = "rating") -> DataFrame:
     """``(by, n, a00, a01, ..., b0, ...)``: per id, the sums of x x' (upper half) and of rating times x.
 
-    ``factors`` is ``(id, factors)`` of the other side. Sums are formed before the shuffle, so a popular id is no burden.
+    ``factors`` is ``(id, factors)`` of the other side. Sums are formed before the shuffle by ``by``. The join by ``other`` shuffles
+    ratings where the factors are too large to broadcast; a popular id is split there (AQE skew join).
     """
     rows = ratings.join(factors.withColumnRenamed("id", other), other).select(F.col(by).alias("id"), F.col(rating).cast("double").alias("_r"), F.col("factors").alias("_x"))
     x = [F.get("_x", F.lit(i)) for i in range(rank)]

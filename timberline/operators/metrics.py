@@ -54,18 +54,24 @@ def _by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.groupBy(F.col(f"`{score}`").cast("double").alias("score")).agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("neg"))
 
 
-#: Range partitions of the running sums over scores.
+#: Ranges of the running sums over scores.
 RANGES = 64
+#: Points made from one row at a time.
+POINTS = 10_000
 
 
 def cumulative(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """``(score, pos, neg, tp, fp)`` per distinct score, counted from the greatest score down, inclusive.
 
     Scores are dealt into ranges; each range sums itself and adds the totals of
-    the ranges above, so no task sees all scores.
+    the ranges above, so no task sees all scores. Where ranges end is fixed
+    first, so every use of the plan deals alike.
     """
     rows = _by_score(df, score, label)
-    ranged = rows.repartitionByRange(RANGES, F.col("score").desc()).withColumn("range", F.spark_partition_id())
+    ends = rows.agg(F.percentile_approx("score", [i / RANGES for i in range(1, RANGES)], 1000).alias("ends")).first()["ends"]
+    ends = F.array(*[F.lit(float(e)) for e in sorted(set(ends or ()))]).cast("array<double>")
+    above_it = F.size(F.filter(ends, lambda e: e > F.col("score")))
+    ranged = rows.withColumn("range", F.when(F.col("score").isNull(), RANGES).otherwise(above_it))
     inside = W.partitionBy("range").orderBy(F.col("score").desc())
     totals = ranged.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     above = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # at most RANGES rows
@@ -88,7 +94,10 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "label") -> Dat
     """
     curve = cumulative(df, score, label).withColumn("above", F.col("tp") - F.col("pos")).withColumn("before", F.col("fp") - F.col("neg"))
     total = F.broadcast(curve.agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"), F.max("score").alias("hi"), F.min("score").alias("lo")))
-    rows = curve.filter("neg > 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("neg") - 1))).join(total)
+    # In blocks, dealt anew: a score may be shared by any number of negatives.
+    blocks = curve.filter("neg > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(neg - 1) div {POINTS}")))).repartition("score", "block")
+    inside = F.sequence(F.col("block") * POINTS, F.least(F.col("neg"), (F.col("block") + 1) * POINTS) - 1)
+    rows = blocks.withColumn("k", F.explode(inside)).join(total)
     points = rows.select("score", ((F.col("before") + F.col("k")) / F.col("q")).alias("fpr"), F.when(F.col("p") > 0, F.col("above") / F.col("p")).otherwise(1.0).alias("tpr"))
     ends = curve.agg(F.max("score").alias("hi"), F.min("score").alias("lo")).select(F.inline(F.array(F.struct((F.col("hi") + 0.1).alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")), F.struct((F.col("lo") - 0.1).alias("score"), F.lit(1.0).alias("fpr"), F.lit(1.0).alias("tpr")))))
     return points.unionByName(ends)
