@@ -253,7 +253,9 @@ def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id_col, n_tokens, ids)`` for every row, ``ids`` as ``array<int>``; no shuffle.
 
     A null text is an empty one and has no tokens. Rows with equal or null ids
-    are encoded one by one. Extra columns are not read.
+    are encoded one by one. A text of any length is encoded whole, in time in
+    proportion to it. An empty table gives an empty result; extra columns are
+    not read.
     """
 
     def run(batches):

@@ -108,8 +108,9 @@ def format_conversations(df: DataFrame, template: ChatTemplate | None = None, id
     Turns are ordered by ``turn_col``, nulls first, and ties by role and text.
     Null texts are empty; a null role stays null. Rows with a null id form one
     conversation. ``loss_spans`` are read off the masked tokens' offsets, in
-    characters of ``formatted``. Repeated rows are repeated turns; an empty
-    table gives no rows; extra columns are not read.
+    characters of ``formatted``. Repeated rows are repeated turns; a text of
+    any length is encoded whole, so a conversation has to fit in memory. An
+    empty table gives no rows; extra columns are not read.
     """
     template = template or ChatTemplate()
     id_type = df.schema[id_col].dataType.simpleString()

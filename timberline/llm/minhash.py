@@ -345,6 +345,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component the smallest id stays."""
+    """The rows of ``df`` without near duplicates: of each component the smallest id stays.
+
+    Rows with a null id, or whose text is null or without words, stay. Rows that
+    repeat an id share its fate; a text of any length is compared whole. Columns
+    may have any names. An empty table stays empty.
+    """
     gone = near_duplicates(df, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("_gone_id")).distinct()
     return df.join(gone, df[id_col] == gone["_gone_id"], "left_anti")

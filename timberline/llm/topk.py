@@ -155,8 +155,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     ``vectors`` but those with the query's id, and only those of the query's
     length; ties go to the smaller id. Null vectors, vectors that hold nulls,
     NaN or infinities, and null ids take no part. A query id that repeats is
-    one query (its least vector); candidates that repeat each count. An empty
-    side gives an empty result. Scores beyond 64 bits are cut to the range.
+    one query (its least vector); candidates that repeat each count. Vectors may
+    be of any length, extra columns are not read. An empty side gives an empty
+    result. Scores beyond 64 bits are cut to the range.
     """
     spark = vectors.sparkSession
     asked = quantised(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("q").alias("q"))
