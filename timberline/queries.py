@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from timberline.plans import model
 from timberline.plans.boost import residuals, train_forest
 from timberline.plans.model import Forest, Node, Tree
 from timberline.plans.tree import train_tree
-from timberline.sources import models
+from timberline.session import shared_path
+from timberline.sources import models, tables
 from timberline.spec import CATEGORICAL, CONTINUOUS, FeatureSpec, ForestParams, TreeParams
 from timberline.tree_sql import ENTROPY, Training, significant
 
@@ -617,3 +620,88 @@ def updater_steps(spark, sf):
         weights, penalty = linear.update(kind, np.array([0.5, -0.4, 0.2]), np.array([1.0, 0.5, 0.5]), 0.2, 0.5)
         out.append((kind, *[round(float(x), 5) for x in (*weights, penalty)]))
     return spark.createDataFrame(out, "kind string, w0 double, w1 double, w2 double, penalty double")
+
+
+# Sources and sinks: written to the shared folder and read back
+
+
+@query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, " + r("sum(o_totalprice)", 2) + " AS total, count(DISTINCT o_orderpriority) AS priorities FROM orders WHERE o_orderkey % 10 <> 0")
+def source_table(spark, sf):
+    """Tab-separated rows by a header; rows of another width are dropped."""
+    path, orders = shared_path(spark, "table"), table(spark, sf, "orders")
+    line = F.when(F.col("o_orderkey") % 10 == 0, F.concat_ws("\t", F.col("o_orderkey").cast("string"), F.lit("short"))).otherwise(F.concat_ws("\t", F.col("o_totalprice").cast("string"), F.col("o_orderkey").cast("string"), "o_orderpriority"))
+    orders.select(line.alias("value")).write.text(path)
+    back = tables.read_table(spark, path, "total", [FeatureSpec("key"), FeatureSpec("priority$", CATEGORICAL)])
+    return back.agg(F.count("*").alias("n"), F.sum(F.col("key").cast("long")).alias("keys"), places(F.sum(F.col("total").cast("double")), 2).alias("total"), F.countDistinct("priority$").alias("priorities"))
+
+
+@query(f"SELECT CASE l_returnflag WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 ELSE 2.0 END::DOUBLE AS flag, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity, sum(l_linenumber)::DOUBLE AS numbers, sum({_Y_SQL})::DOUBLE AS labels FROM lineitem GROUP BY 1")
+def source_encoded(spark, sf):
+    path = shared_path(spark, "encoded")
+    tables.write_encoded(_encoded(spark, sf), path, "label", _FEATURES)
+    back = tables.read_encoded(spark, path, "label", _FEATURES)
+    return back.groupBy(F.col("`returnflag$`").cast("double").alias("flag")).agg(F.count("*").alias("n"), F.sum("quantity").cast("double").alias("quantity"), F.sum("linenumber").cast("double").alias("numbers"), F.sum("label").cast("double").alias("labels"))
+
+
+@query(_DICT_SQL + "SELECT 'p_brand' AS feature, value, id FROM d WHERE feature = 'p_brand' UNION ALL SELECT 'p_type', value, id FROM d WHERE feature = 'p_type'")
+def source_dictionaries(spark, sf):
+    folder = shared_path(spark, "dictionaries")
+    tables.write_dictionaries(encode.build_dictionaries(table(spark, sf, "part"), ["p_brand", "p_type"]), folder)
+    back = tables.read_dictionaries(spark, folder, _PART)
+    return spark.createDataFrame([(f, v, i) for f, ids in back.items() for v, i in ids.items()], "feature string, value string, id int")
+
+
+@query("SELECT 'quantity' AS feature, i + 0.5::DOUBLE AS t FROM range(1, 50) r(i) UNION ALL SELECT 'linenumber', i + 0.5 FROM range(1, 7) r(i)")
+def source_quantiles(spark, sf):
+    folder = shared_path(spark, "quantiles")
+    tables.write_quantiles(spark, _THRESHOLDS, folder)
+    back = tables.read_quantiles(spark, folder, _FEATURES)
+    return spark.createDataFrame([(f, t) for f, own in back.items() for t in own], "feature string, t double")
+
+
+_SCORED_SQL = " UNION ALL ".join(f"SELECT '{form}' AS form, score, count(*) AS n FROM (SELECT (({_A_SQL}) + ({_B_SQL}))::DOUBLE AS score FROM lineitem) GROUP BY score" for form in ("json", "extended", "text", "parquet"))
+
+
+@query(_SCORED_SQL)
+def source_models(spark, sf):
+    """A forest in each of its written forms, read back, scores alike."""
+    folder = shared_path(spark, "model")
+    models.write_model(spark, _FOREST, folder)
+    forms = {
+        "json": models.read_forest(spark, f"{folder}/forest.json"), "extended": models.read_forest(spark, f"{folder}/forest_ext.json"),
+        "text": Forest(tuple(models.tree_from_lines(tables.read_small(spark, f"{folder}/forest_nodes/nodes_{m}.txt")) for m in range(2))),
+        "parquet": Forest.from_table(spark.read.parquet(f"{folder}/nodes.parquet")),
+    }
+    rows = lineitem_features(spark, sf)
+    scores = F.array(*[F.struct(F.lit(k).alias("form"), f.predict(raw=True).alias("score")) for k, f in forms.items()])
+    return rows.select(F.inline(scores)).groupBy("form", "score").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'points' AS kind, sum(CASE WHEN l_quantity >= 25 AND l_returnflag = 'R' THEN 1 ELSE 0 END)::DOUBLE AS a, " + r("sum(l_quantity / 50)", 3) + " AS b FROM lineitem UNION ALL SELECT 'vectors', count(*), " + r("sum(embedding[1]::DOUBLE)", 3) + " FROM embeddings UNION ALL SELECT 'ratings', sum(o_custkey % 50), sum(floor(o_totalprice)::BIGINT % 5) FROM orders UNION ALL SELECT 'factors', sum(DISTINCT o_custkey % 50), sum(DISTINCT o_custkey % 50) * 0.5 FROM orders")
+def source_vectors(spark, sf):
+    """Labeled points, vectors, ratings and factors as text."""
+    path, out = shared_path(spark, "vectors"), []
+    tables.write_labeled_points(_points(spark, sf), f"{path}/points")
+    out.append(tables.read_labeled_points(spark, f"{path}/points").agg(F.lit("points").alias("kind"), F.sum("label").alias("a"), places(F.sum(F.get("features", F.lit(1))), 3).alias("b")))
+    table(spark, sf, "embeddings").select(F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("double").cast("string"))).alias("value")).write.text(f"{path}/vectors")
+    out.append(tables.read_vectors(spark, f"{path}/vectors").agg(F.lit("vectors").alias("kind"), F.count("*").cast("double").alias("a"), places(F.sum(F.get("features", F.lit(0))), 3).alias("b")))
+    _ratings(spark, sf).write.csv(f"{path}/ratings")
+    out.append(tables.read_ratings(spark, f"{path}/ratings").agg(F.lit("ratings").alias("kind"), F.sum("user").cast("double").alias("a"), F.sum("rating").alias("b")))
+    users = _ratings(spark, sf).select(F.col("user").alias("id")).distinct().withColumn("factors", F.array(F.col("id") * 0.5, F.lit(1.0)))
+    tables.write_factors(users, f"{path}/factors")
+    parts = F.split("value", "[, ]")
+    back = spark.read.text(f"{path}/factors").select(F.get(parts, F.lit(0)).cast("double").alias("id"), F.get(parts, F.lit(1)).cast("double").alias("f0"))
+    out.append(back.agg(F.lit("factors").alias("kind"), F.sum("id").alias("a"), F.sum("f0").alias("b")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"SELECT printf('%.5f', ({_A_SQL}) + ({_B_SQL})) AS score, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
+def source_scores(spark, sf):
+    """Scored rows as text, rewritten as two files."""
+    path = shared_path(spark, "scores")
+    scored = _FOREST.scored(lineitem_features(spark, sf))
+    tables.write_scores(scored, f"{path}/parts", ["quantity", "linenumber"])
+    tables.compact(spark, f"{path}/parts", f"{path}/compact", 2)
+    fields = F.split("value", "\t")
+    back = spark.read.text(f"{path}/compact").select(F.get(fields, F.lit(0)).cast("double").alias("quantity"), F.get(fields, F.lit(2)).alias("score"))
+    return back.groupBy("score").agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
