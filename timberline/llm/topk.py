@@ -105,47 +105,54 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.queries.ids, n)), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
 
+#: Scores are cut to the range of 64 bits.
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+
+
+def _exact(vector: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products in integers of any size, cut to 64 bits."""
+    if not len(vector):
+        return np.zeros(columns.shape[1], dtype=np.int64)
+    return np.array([min(max(int(x), LOW), HIGH) for x in vector.astype(object) @ columns.astype(object)], dtype=np.int64)
+
+
 def search(best: Best, block: Block) -> None:
-    """Offer ``block`` to all queries of ``best``."""
+    """Offer ``block`` to all queries of ``best``.
+
+    Bounds are in floating point. Scores are whole numbers, so a slack of a half
+    makes up for rounding while all sums are below 2**52; beyond, the slack
+    follows the norms, and the scores of what survives are added up in integers.
+    """
     queries, dim, k = best.queries, block.data.shape[0], best.k
-    if queries.most * block.most * max(dim, 1) >= 1 << 52:
-        return _search_wide(best, block)
+    wide = queries.most * block.most * max(dim, 1) >= 1 << 52
     # One dimension step for a group of queries is one product of two narrow matrices.
     for at in range(0, len(queries.ids), 64):
         first = queries.data[:STEP, at : at + 64].T @ block.data[:STEP]
         for j in range(first.shape[0]):
             q = at + j
             vector, qid = queries.data[:, q], queries.ids[q]
+            slack = 0.5 + (dim + 4) * 2.0**-50 * queries.rest[0, q] * block.rest[0] if wide else np.full(len(block.ids), 0.5)
             partial = first[j]
-            if best.floor(q) == -np.inf:
+            floor = best.floor(q)
+            if floor == -np.inf:
                 # No bound yet: score the most promising fully, to have one.
                 n = min(len(partial), 16 * k)
                 lead = np.argpartition(-partial, n - 1)[:n] if n else np.empty(0, dtype=np.int64)
                 lead = lead[block.ids[lead] != qid]
-                scores = np.sort(vector @ block.data[:, lead])[::-1]
+                scores = np.sort(vector @ block.data[:, lead] - slack[lead])[::-1]
                 floor = float(scores[k - 1]) if len(scores) >= k else -np.inf
-            else:
-                floor = best.floor(q)
-            # Scores are whole numbers, so a margin of a half makes up for rounding in the bound.
-            alive = np.flatnonzero(partial + queries.rest[1 if dim else 0, q] * block.rest[1 if dim else 0] >= floor - 0.5)
+            # Beyond 64 bits all scores are alike.
+            floor = -np.inf if floor <= LOW else min(floor, float(HIGH))
+            alive = np.flatnonzero(partial + queries.rest[1 if dim else 0, q] * block.rest[1 if dim else 0] >= floor - slack)
             partial = partial[alive]
             for step, d in enumerate(range(STEP, dim, STEP), 2):
                 partial = partial + vector[d : d + STEP] @ block.data[d : d + STEP, alive]
-                fits = partial + queries.rest[step, q] * block.rest[step, alive] >= floor - 0.5
+                fits = partial + queries.rest[step, q] * block.rest[step, alive] >= floor - slack[alive]
                 alive, partial = alive[fits], partial[fits]
             other = block.ids[alive] != qid
-            best.offer(q, np.rint(partial[other]).astype(np.int64), block.ids[alive[other]])
-
-
-def _search_wide(best: Best, block: Block) -> None:
-    """The same without bounds, in integers of any size, cut to 64 bits at the end."""
-    low, high = -(1 << 63), (1 << 63) - 1
-    for q, qid in enumerate(best.queries.ids):
-        vector = best.queries.raw[:, q].astype(object)
-        scores = np.array([min(max(int(x), low), high) for x in vector @ block.raw.astype(object)] if len(vector) else [0] * len(block.ids), dtype=np.int64)
-        other = block.ids != qid
-        order = np.lexsort((block.ids[other], np.invert(scores[other])))[: best.k]
-        best.offer(q, scores[other][order], block.ids[other][order])
+            alive = alive[other]
+            scores = _exact(queries.raw[:, q], block.raw[:, alive]) if wide else np.rint(partial[other]).astype(np.int64)
+            best.offer(q, scores, block.ids[alive])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -165,11 +172,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     blocks = max(1, -(-n_queries // QUERIES))
     query_blocks = pack(asked.repartition(blocks, "id"), QUERIES)
     packed = materialise(pack(quantised(vectors, id_col, vector_col, scale), CANDIDATES), "vectors")
-    # Every query block meets every candidate block once. The grid is cut along the
-    # candidates: each of `spread` shares gets its own copy of the query blocks.
-    spread = max(1, min(packed.count(), 4 * spark.sparkContext.defaultParallelism))
-    left = packed.withColumn("share", F.pmod(F.xxhash64("block"), F.lit(spread)).cast("int"))
-    right = query_blocks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).select("share", "dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "wide", "ids", "data")])
+    # Every query block meets every candidate block once, on a grid of tasks. Query blocks are
+    # copied to each of its columns and candidate blocks to each of its rows; the grid's shape
+    # makes the copies of both about equal.
+    held_blocks, tasks = packed.count(), 4 * spark.sparkContext.defaultParallelism
+    columns = max(1, min(held_blocks, tasks, round((tasks * held_blocks * CANDIDATES / (blocks * QUERIES)) ** 0.5)))
+    lines = max(1, min(blocks, tasks // columns))
+    place = lambda block, n: F.pmod(F.xxhash64(block), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed.withColumn("column", place("block", columns)).withColumn("line", copies(lines))
+    right = query_blocks.withColumn("line", place("block", lines)).withColumn("column", copies(columns)).select("line", "column", "dim", *[F.col(c).alias(f"q_{c}") for c in ("block", "wide", "ids", "data")])
 
     def run(batches):
         held: OrderedDict[int, Best] = OrderedDict()
@@ -189,7 +201,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         for best in held.values():
             yield best.rows()
 
-    grid = left.join(right, ["share", "dim"]).select("block", "dim", "wide", "ids", "data", "q_block", "q_wide", "q_ids", "q_data")
+    grid = left.join(right.hint("merge"), ["line", "column", "dim"]).select("block", "dim", "wide", "ids", "data", "q_block", "q_wide", "q_ids", "q_data")
     local = map_arrow(grid, run, "query_id long, vec_id long, score long")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
