@@ -59,8 +59,8 @@ def test_components_are_those_of_all_pairs(spark):
 
 def test_large_buckets_need_more_rounds(spark, monkeypatch):
     monkeypatch.setattr(minhash, "FEW", 1)
-    monkeypatch.setattr(minhash, "MANY", 2)
-    data = corpus(60, 2)
+    monkeypatch.setattr(minhash, "MANY", 4)
+    data = corpus(40, 2)
     assert run(spark, data, words=2, percent=80, rows=2, miss=1e-6) == brute(data, 2, 80)
 
 
@@ -68,13 +68,13 @@ def test_a_crowd_around_one_text(spark, monkeypatch):
     draw = random.Random(11)
     base = [f"w{i}" for i in range(60)]
     data = []
-    for i in range(120):
+    for i in range(45):
         words = list(base)
         for _ in range(draw.choice((1, 2, 3, 4, 5, 6, 8))):
             at = draw.randrange(len(words))
             words[at : at + 1] = draw.choice(([], ["x"], [f"u{draw.randrange(9)}"], [f"u{i}", "y"]))
         data.append((i, " ".join(words)))
-    for few, many, words, percent in ((2, 6, 3, 85), (2, 4096, 5, 80)):
+    for few, many, words, percent in ((2, 12, 3, 85), (2, 4096, 5, 80)):
         monkeypatch.setattr(minhash, "FEW", few)
         monkeypatch.setattr(minhash, "MANY", many)
         assert run(spark, data, words=words, percent=percent) == brute(data, words, percent)
