@@ -9,15 +9,16 @@ Pairs are never formed all against all. Documents with equal sets are one
 class. Where few of a bucket's members lie outside its largest component, those
 few are compared with its members, which is linear in the bucket. In any other
 bucket everyone is compared with one hub, the document that is met in most
-buckets. If that does not make the hub's members one component, no pair of
-them is lost for that: what two members share is in the hub or not, so what they
-have in common with the hub, and the shingles outside it that other components
-have as well, bound their similarity. Most members cannot reach the threshold
-with anyone by these numbers. The rest meet in new, smaller buckets named by
-their rarest such shingles (a prefix filter with positions), which are treated
-alike. After two rounds of hubs, only documents that link with few others are
-left apart; from then on pairs come from buckets of any size, but only those
-whose difference a 1024-bit parity map of the sets does not prove too large.
+buckets, and those that this leaves over with a second one. After that only
+documents that link with few others are left apart. Their pairs come from buckets
+with up to MANY members outside the largest component, but only those whose
+difference a 1024-bit parity map of the sets does not prove too large. In buckets
+beyond that hubs go on, and no pair is lost for it: what two members share is in
+the hub or not, so what they have in common with the hub, and the shingles outside
+it that other components have as well, bound their similarity. Most members cannot
+reach the threshold with anyone by these numbers. The rest meet in new, smaller
+buckets named by their rarest such shingles (a prefix filter with positions),
+which are treated alike.
 """
 
 from __future__ import annotations
@@ -300,6 +301,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         active = materialise(active, "active")
         # Who has been a hub is none again, so the rounds come to an end; where nobody is left, the rest meets all.
         many = active.filter(F.col("rest") > (FEW if turn < 2 else MANY))
+        if turn == 1:  # a second hub for those that the first left over
+            many = many.filter(F.col("comp") != F.col("major"))
         met = _merged(many.groupBy("rep").agg(F.sum("m").alias("met")), spent.withColumn("spent", F.lit(1)), "rep", "left")
         hubs = _merged(many, met, "rep").groupBy("bucket").agg(F.min_by(F.struct("rep", "n", "spent"), F.struct(F.coalesce("spent", F.lit(0)), -F.col("met"), F.col("rep"))).alias("hub"))
         hubs = materialise(hubs, "hubs")
@@ -323,6 +326,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         labels = connected_components(links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         if stars.isEmpty():
             break
+        spent = spent.unionByName(stars.select(F.col("hub").alias("rep"))).distinct()
+        if turn < 2:  # the same buckets again, with the components found
+            open_buckets = _merged(members, hubs.filter("hub.spent is null").select("bucket"), "bucket", "left_semi").drop("comp")
+            members = _merged(open_buckets, labels.select(F.col("node").alias("rep"), F.col("root").alias("comp")), "rep", "left")
+            members = materialise(members.withColumn("comp", F.coalesce("comp", "rep")).select("bucket", "rep", "n", "comp", "c", "rem"), "buckets")
+            continue
         # Hubs that still have members of other components: their members, with what each has in common with the hub.
         comp_of = lambda rows, col, name, roots=labels: _merged(rows, roots.select(F.col("node").alias(col), F.col("root").alias(name)), col, "left").withColumn(name, F.coalesce(name, col))
         known = comp_of(comp_of(stars, "rep", "comp"), "hub", "hub_comp")
@@ -330,7 +339,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         open_hubs = known.filter("comp <> hub_comp").select("hub").distinct()
         common = checked.groupBy("a", "b").agg(F.max("common").alias("common"))
         known = _merged(_merged(known, open_hubs, "hub", "left_semi"), common, ["a", "b"])
-        spent = spent.unionByName(stars.select(F.col("hub").alias("rep"))).distinct()
         members = materialise(narrowed(known.select("hub", "hub_n", "rep", "n", "comp", "common"), texts, words, percent), "buckets")
     if labels is None:
         final = classes.select("key", F.col("rep").alias("component_id"))
