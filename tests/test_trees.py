@@ -153,3 +153,43 @@ def test_raw_and_encoded_rows_score_alike(spark):
     assert again.rows() == forest.rows()
     unseen = spark.createDataFrame([("", "never"), (None, None)], "a string, `b$` string").select(forest.predict(raw=True)).collect()
     assert all(math.isfinite(r[0]) for r in unseen)
+
+
+def test_forests_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
+    """Residuals are no short binary fractions, so plain sums differ with the order of addition."""
+    i = F.col("id")
+    rows = spark.range(30_000).select((i % 10).cast("double").alias("x"), (i % 3).cast("double").alias("c$"), (i % 4).cast("double").alias("z"), ((i % 10 >= 6) & (i % 3 == 1)).cast("double").alias("label"), (i % 7 * 0.1 + 0.3).alias("weight"))
+    params = ForestParams(TreeParams(max_depth=3), num_trees=3, persist_interval=1)
+    found = []
+    for parts in (1, 16):
+        rows.repartition(parts, "id").write.parquet(f"{tmp_path}/{parts}") if parts > 1 else rows.coalesce(1).write.parquet(f"{tmp_path}/1")
+        dealt = spark.read.parquet(f"{tmp_path}/{parts}")
+        found.append([train_forest(dealt, FEATURES, params, weight=w).rows() for w in (None, "weight")])
+    assert found[0] == found[1]
+    first, second = found[0][0][0], next(r for r in found[0][0] if r[0] == 1)
+    # Errors of the roots: 4,000 rows of 1, of which the first tree leaves a fifth.
+    assert first[6] == pytest.approx(4000 - 4000**2 / 30_000, rel=1e-15)
+    assert second[6] == pytest.approx((4000 - 4000**2 / 30_000) * 0.04, rel=1e-14)
+
+
+@pytest.mark.parametrize("values", [[1e300, -1e-3, 3.5], [0.1, 0.2, -0.3, 1e-17, None], [0.0, 0.0], [-7e-250, 2e-251]])
+def test_sums_on_a_grid(spark, values):
+    """Each sum is the exact one, rounded once; parts are lost only far below the greatest magnitude."""
+    from fractions import Fraction
+
+    from timberline.functions.exact import Grid
+
+    df = spark.createDataFrame([(v,) for v in values * 50], "v double")
+    grid = Grid.of(df, {"v": F.col("v")})
+    got = df.select(*grid.parts({"v": F.col("v")})).agg(*grid.sums()).select(grid.value("v", F.col("v"))).first()[0]
+    known = [v for v in values if v is not None]
+    assert got == pytest.approx(float(50 * sum(map(Fraction, known))), rel=1e-15, abs=max(map(abs, known)) * 1e-20)
+
+
+def test_no_grid_for_values_that_are_not_finite(spark):
+    from timberline.functions.exact import Grid
+
+    for v in (float("nan"), float("inf"), 1e-300):
+        assert Grid.of(spark.createDataFrame([(v,)], "v double"), {"v": F.col("v")}) is None
+    odd = spark.createDataFrame([(float("nan"), 1.0), (1.0, 2.0), (0.0, 3.0)], "label double, x double")
+    assert train_tree(odd, [FeatureSpec("x")], TreeParams(max_depth=1)).trees[0].nodes[1].count == 3

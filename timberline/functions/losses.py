@@ -9,16 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from timberline.functions.exact import Grid
+
 #: Probabilities this near to 0 or 1 count as pure.
 P_MIN = 1e-10
 
 
+def terms(label: Column, weight: Column | None = None) -> dict[str, Column]:
+    """What ``w``, ``s`` and ``ss`` add up; unit weights are counted instead."""
+    if weight is None:
+        return {"s": label, "ss": label * label}
+    return {"w": weight, "s": weight * label, "ss": weight * label * label}
+
+
 def moments(label: Column, weight: Column | None = None) -> list[Column]:
     """The four aggregates."""
     w = F.lit(1.0) if weight is None else weight
     return [F.count("*").alias("n"), F.sum(w).cast("double").alias("w"), F.sum(w * label).alias("s"), F.sum(w * label * label).alias("ss")]
 
 
+def exact_moments(grid: Grid) -> list[Column]:
+    """The four aggregates over a grid's parts: ``n`` and whole numbers for the others."""
+    counted = [] if "w" in grid.exponents else [F.count("*").cast("decimal(20,0)").alias("w")]
+    return [F.count("*").alias("n"), *counted, *grid.sums()]
+
+
 class Loss:
     name = ""
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from timberline.functions.exact import Grid
 from timberline.functions.losses import Loss
 
 
@@ -23,14 +24,16 @@ def stable(x: Column) -> Column:
     return F.when(F.abs(x) < 1e-300, 0.0).otherwise(F.floor(x * magnitude + 0.5) / magnitude)
 
 
-def cuts(hist: DataFrame, loss: Loss, categorical: list[int]) -> DataFrame:
+def cuts(hist: DataFrame, loss: Loss, categorical: list[int], grid: Grid | None = None) -> DataFrame:
     """Every bin of every (node, feature) with its place, both sides' sums and the error of a cut behind it.
 
     The right side has a scan of its own: a difference of sums would bring back
-    the rounding that makes ties unstable.
+    the rounding that makes ties unstable. Sums of a histogram on a grid are
+    added up as whole numbers and become doubles last.
     """
+    value = grid.value if grid else lambda name, total: total
     kind = F.col("feature_id").isin(categorical) if categorical else F.lit(False)
-    key = F.when(kind, loss.centroid(F.col("w"), F.col("s"))).otherwise(F.col("bin").cast("double"))
+    key = F.when(kind, loss.centroid(value("w", F.col("w")), value("s", F.col("s")))).otherwise(F.col("bin").cast("double"))
     keyed = hist.withColumn("key", key)
     group = W.partitionBy("node_id", "feature_id")
     forward, backward = group.orderBy("key", "bin"), group.orderBy(F.col("key").desc(), F.col("bin").desc())
@@ -41,17 +44,19 @@ def cuts(hist: DataFrame, loss: Loss, categorical: list[int]) -> DataFrame:
         sums[f"r_{c}"] = F.sum(c).over(right)
         sums[f"t_{c}"] = F.sum(c).over(group)
     out = keyed.withColumns(sums | {"pos": F.row_number().over(forward) - 1, "bins": F.count("*").over(group)})
+    if grid:
+        out = out.withColumns({f"{p}_{c}": grid.value(c, F.col(f"{p}_{c}")) for p in "lrt" for c in ("w", "s", "ss")})
     side = lambda p: loss.error(F.col(f"{p}_w"), F.col(f"{p}_s"), F.col(f"{p}_ss"))
     return out.withColumn("node_error", side("t")).withColumn("split_error", F.when(F.col("pos") < F.col("bins") - 1, side("l") + side("r")))
 
 
-def best_per_feature(hist: DataFrame, loss: Loss, categorical: list[int], with_bins: bool = True) -> DataFrame:
+def best_per_feature(hist: DataFrame, loss: Loss, categorical: list[int], with_bins: bool = True, grid: Grid | None = None) -> DataFrame:
     """One row per (node, feature): its best cut.
 
     A feature with one bin has no cut: its split error is the node's error and
     its gain 0. ``left_bins`` and ``right_bins`` are given for categorical features.
     """
-    tried = cuts(hist, loss, categorical)
+    tried = cuts(hist, loss, categorical, grid)
     order = W.partitionBy("node_id", "feature_id").orderBy(stable(F.coalesce("split_error", "node_error")), F.col("split_error").isNull(), "pos")
     best = tried.withColumn("rank", F.row_number().over(order))
     if with_bins and categorical:
@@ -68,9 +73,9 @@ def best_per_feature(hist: DataFrame, loss: Loss, categorical: list[int], with_b
     return best.withColumn("gain", F.col("node_error") - F.col("split_error")).drop("rank", "key", "n", "w", "s", "ss")
 
 
-def best_splits(hist: DataFrame, loss: Loss, categorical: list[int], feature_weights: dict[int, float] | None = None) -> DataFrame:
+def best_splits(hist: DataFrame, loss: Loss, categorical: list[int], feature_weights: dict[int, float] | None = None, grid: Grid | None = None) -> DataFrame:
     """One row per node: the feature with the greatest weighted gain, lowest id on ties. ``gain`` is unweighted."""
-    per = best_per_feature(hist, loss, categorical)
+    per = best_per_feature(hist, loss, categorical, grid=grid)
     weight = F.lit(1.0)
     for feature, value in (feature_weights or {}).items():
         weight = F.when(F.col("feature_id") == feature, F.lit(float(value))).otherwise(weight)

@@ -7,7 +7,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.functions.losses import LOSSES, Loss, moments
+from timberline.functions.exact import Grid
+from timberline.functions.losses import LOSSES, Loss, exact_moments, moments, terms
 from timberline.operators.encode import bin_columns, collect_quantiles, quantile_table
 from timberline.operators.histogram import histogram
 from timberline.operators.split import best_splits
@@ -43,13 +44,20 @@ def grow(binned: DataFrame, features: list[FeatureSpec], quantiles: dict[str, li
     The driver sees a few numbers per node. A row's node is computed from the
     tree grown so far, so the data itself is never rewritten. A child's sums
     are those of its side of the parent's split, so leaves need no pass of their own.
+    Sums are exact on a grid, so a tree does not depend on how rows are dealt to tasks.
     """
     loss = LOSSES[params.loss]
     usable = [i for i, f in enumerate(features) if f.kind in (CONTINUOUS, CATEGORICAL)]
     categorical = [i for i in usable if features[i].kind == CATEGORICAL]
     weights = dict(enumerate(feature_weights)) if feature_weights else None
     y = F.col(f"`{label}`").cast("double")
-    root = binned.agg(*moments(y, F.col(f"`{weight}`").cast("double") if weight else None)).first()
+    w = F.col(f"`{weight}`").cast("double") if weight else None
+    grid = Grid.of(binned, terms(y, w))
+    if grid:
+        whole = binned.select(*grid.parts(terms(y, w))).agg(*exact_moments(grid))
+        root = whole.select("n", *[grid.value(c, F.col(c)).alias(c) for c in ("w", "s", "ss")]).first()
+    else:
+        root = binned.agg(*moments(y, w)).first()
     response, error = _numbers(loss, root["w"] or 0.0, root["s"] or 0.0, root["ss"] or 0.0)
     nodes = {1: Node(1, 0, root["n"], root["w"] or 0.0, response, error)}
     least = params.min_gain_fraction * error
@@ -59,8 +67,8 @@ def grow(binned: DataFrame, features: list[FeatureSpec], quantiles: dict[str, li
             batch = open_ids[at : at + params.batch_size]
             place = Tree(nodes).leaf_of(binned_test)
             rows = binned.withColumn("_node", place).filter(F.col("_node").isin(batch)) if level else binned
-            hist = histogram(rows, usable, F.col("_node") if level else None, label, weight)
-            for s in best_splits(hist, loss, categorical, weights).collect():
+            hist = histogram(rows, usable, F.col("_node") if level else None, label, weight, grid)
+            for s in best_splits(hist, loss, categorical, weights, grid).collect():
                 parent = nodes[s["node_id"]]
                 f = features[s["feature_id"]]
                 split_error, gain = s["split_error"], s["gain"]
