@@ -93,6 +93,18 @@ def test_small_formats(spark, tmp_path):
     assert tables.uci_to_table(raw).first()[0].split("\t")[3::5] == ["0", "chevrolet"]
 
 
+def test_compaction_bounds_what_a_task_takes(spark, tmp_path):
+    lines = spark.range(0, 4_000, 1, 16).select(F.format_string("%019d", "id").alias("value"))
+    lines.write.text(str(tmp_path / "parts"))
+    for target, files, most, least, greatest in (("two", 2, 64 << 20, 2, 2), ("exact", 2, None, 2, 2), ("more", 2, 20_000, 3, 16)):
+        tables.compact(spark, str(tmp_path / "parts"), str(tmp_path / target), files, most=most)
+        assert least <= len(list((tmp_path / target).glob("part-*"))) <= greatest
+        assert sorted(tables.read_small(spark, str(tmp_path / target))) == [f"{i:019d}" for i in range(4_000)]
+    lines.filter("false").write.text(str(tmp_path / "none"))
+    tables.compact(spark, str(tmp_path / "none"), str(tmp_path / "nothing"), 2)
+    assert tables.read_small(spark, str(tmp_path / "nothing")) == []
+
+
 def test_streams_are_scored_like_batches(spark, cars, tmp_path):
     label, features = tables.read_header(spark, f"{cars}/header.txt")
     rows = tables.read_table(spark, f"{cars}/data.txt", label, features)

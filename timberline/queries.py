@@ -697,7 +697,7 @@ def source_vectors(spark, sf):
 
 @query(f"SELECT printf('%.5f', ({_A_SQL}) + ({_B_SQL})) AS score, count(*) AS n, sum(l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
 def source_scores(spark, sf):
-    """Scored rows as text, rewritten as two files."""
+    """Scored rows as text, rewritten as two files, or more where these would be large."""
     path = shared_path(spark, "scores")
     scored = _FOREST.scored(lineitem_features(spark, sf))
     tables.write_scores(scored, f"{path}/parts", ["quantity", "linenumber"])

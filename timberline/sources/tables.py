@@ -104,8 +104,20 @@ def write_factors(df: DataFrame, path: str) -> None:
     _write_lines(df.select(F.concat_ws(",", F.col("id").cast("string"), F.concat_ws(" ", F.col("factors").cast("array<string>"))).alias("value")), path)
 
 
-def compact(spark: SparkSession, path: str, target: str, files: int = 1) -> None:
-    """Rewrite text part files as a given number of files."""
+#: Bytes that a compacted file is meant to hold at most. A task takes whole splits, so it may reach this plus one split.
+FILE_BYTES = 64 << 20
+
+
+def compact(spark: SparkSession, path: str, target: str, files: int = 1, most: int | None = FILE_BYTES) -> None:
+    """Rewrite text part files as a given number of files, or as more where these would exceed ``most`` bytes.
+
+    A file has one writer, so a fixed number of them would give each task a
+    fixed share of the data. With ``most=None`` the number is kept at any size.
+    """
+    if most:
+        # Of binary files only the lengths are asked for, so no contents are read.
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+        files = max(files, -(-size // most))
     _write_lines(spark.read.text(path).coalesce(files), target)
 
 
